@@ -74,7 +74,7 @@ def _induce(scratch: Scratch, seeds, before, kinds: int, cap: int, text: np.ndar
         bad = np.flatnonzero(keys[1:] > ahead[:-1])
         n = int(bad[0]) + 1 if len(bad) else len(keys)
         queue.pop(token, n)
-        limit = min(_MOST, limit * 2) if n == len(keys) else max(64, min(limit, 2 * n))
+        limit = min(_MOST, limit * 2) if n == len(keys) else max(64, n + n // 2)
         keys, positions, new = keys[:n], positions[:n], new[:n]
 
         low = prefixes[:n].astype(np.int64)
@@ -162,10 +162,25 @@ def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray, kinds: int)
     return np.unique(rank, return_inverse=True)[1].reshape(-1)
 
 
-def suffix_order(text: np.ndarray, kinds: int, cap: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+def _doubled(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of a short string of names, by doubling sorted prefixes; common prefixes by comparison."""
+    n = len(text)
+    rank = np.asarray(text, np.int64)
+    width = 1
+    while True:
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
+        values, rank = np.unique(key, return_inverse=True)
+        if len(values) == n:
+            order = np.argsort(rank)
+            return order, np.concatenate([[0], _extend(text, order[:-1], order[1:], np.zeros(n - 1, np.int64), cap)])
+        width *= 2
+
+
+def suffix_order(text: np.ndarray, kinds: int, cap: int, scratch: Scratch, base: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of text and common prefixes (up to cap) of neighbours; the last symbol is 0 and occurs only there.
 
-    Symbols are below kinds."""
+    Symbols are below kinds. The recursion ends at base names, which are sorted in memory."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -177,7 +192,7 @@ def suffix_order(text: np.ndarray, kinds: int, cap: int, scratch: Scratch) -> tu
         order = np.argsort(names)
         known = np.zeros(len(order), np.int64)
     else:
-        order, shared = suffix_order(scratch.keep(names), most, cap, scratch)
+        order, shared = _doubled(names, cap) if len(names) <= base else suffix_order(scratch.keep(names), most, cap, scratch, base)
         order = np.asarray(order)
         known = starts[np.minimum(order + shared, len(starts) - 1)] - starts[order]
     seeds = starts[order]

@@ -29,9 +29,9 @@ from fieldloom.llm.induced_sort import suffix_order
 
 U = np.uint64
 _FIRST = -(1 << 63)  # stands for a null doc_id
-_STRETCH = 512  # bytes of the first document whose segments share a shard
-_BLOCK = 32 << 20  # bytes of text within which a task reduces equal segments
-_SORT = 3 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
+_STRETCH = 1024  # bytes of the first document whose segments share a shard
+_BLOCK = 16 << 20  # bytes of text within which a task reduces equal segments
+_SORT = 2 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int):
@@ -165,7 +165,7 @@ def resolve(rows: DataFrame, width: int) -> DataFrame:
 
 
 def sorted_spans(pieces: list[tuple[int, int, bytes]], width: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start, end of strings of width bytes in pieces (doc, start, bytes) that have an earlier equal string there."""
+    """doc, start, end of the runs of strings of width bytes in pieces (doc, start, bytes) that have an earlier equal there."""
     size = [len(b) for _, _, b in pieces]
     text = scratch.array(sum(size) + len(size) + 1, np.int16)
     at, firsts = 0, np.zeros(len(pieces), np.int64)
@@ -191,7 +191,13 @@ def sorted_spans(pieces: list[tuple[int, int, bytes]], width: int, scratch: Scra
     first = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
     late = ~first & ((doc != doc[head]) | (start != start[head]))
-    return doc[late], start[late], start[late] + width
+    doc, start = doc[late], start[late]
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    joins = (doc[1:] == doc[:-1]) & (start[1:] <= start[:-1] + width)
+    first = np.flatnonzero(np.concatenate([[True], ~joins])) if len(doc) else np.zeros(0, np.int64)
+    last = np.concatenate([first[1:] - 1, [len(doc) - 1]]) if len(doc) else first
+    return doc[first], start[first], start[last] + width
 
 
 def suffix_sorted(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
