@@ -33,7 +33,8 @@ from fieldloom.llm.components import connected_components
 U = np.uint64
 #: Odd factors of the four permutations of shingle hashes.
 _TURNS = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_COMMON = 1 << 16  # shingles put last in the order, at most
+_COMMON = 1 << 18  # shingles put last in the order, at most
+_COUNTED = 3 << 20  # shingles of a block of texts within which a task counts
 _MEMBERS = 256  # members that are compared with one centre in one group
 _TILE = 2048  # rows of a tile that are compared at once
 
@@ -45,10 +46,10 @@ def _sets(batch, size: int):
         yield from enumerate(shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size), lo)
 
 
-def common_shingles(docs: DataFrame, size: int, least: int = 8) -> np.ndarray:
-    """Shingles that at least this many sets of a block of texts hold, the most frequent _COMMON of them, sorted.
+def common_shingles(docs: DataFrame, size: int, least: int = 3) -> np.ndarray:
+    """Shingles that at least this many different sets of a block of texts hold, the most frequent _COMMON of them, sorted.
 
-    Every text is counted; the list has a fixed bound and only orders shingles."""
+    Every text is read; the list has a fixed bound and only orders shingles."""
 
     def count(batches):
         def flush(held):
@@ -56,14 +57,18 @@ def common_shingles(docs: DataFrame, size: int, least: int = 8) -> np.ndarray:
             often = n >= least
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
-        held, rows = [], 0
+        held, seen, rows = [], set(), 0
         for batch in batches:
             for _, h in _sets(batch, size):
+                mark = (len(h), int(h.sum(dtype=np.uint64)))
+                if mark in seen:
+                    continue  # a copy
+                seen.add(mark)
                 held.append(h)
                 rows += len(h)
-                if rows >= 4 << 20:
+                if rows >= _COUNTED:
                     yield flush(held)
-                    held, rows = [], 0
+                    held, seen, rows = [], set(), 0
         if held:
             yield flush(held)
 
@@ -202,9 +207,23 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return dealt_sets.mapInArrow(compare, "a long, b long")
 
 
-def _tile_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int):
-    """Pairs of a tile's rows (sorted by size) of different components that size band and places allow, block by block."""
+def _folded(bits: list[bytes], widths: np.ndarray, width: int) -> np.ndarray:
+    """Signatures folded to width bytes; rows of narrower ones stay zero."""
+    out = np.zeros((len(bits), width), np.uint8)
+    for k in np.flatnonzero(widths >= width):
+        x = np.frombuffer(bits[k], np.uint8)
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def _tile_pairs(node, comp, n, place, bits: list[bytes], percent: int):
+    """Pairs of a tile's rows (sorted by size) of different components that size band, places and signatures allow, block
+    by block."""
     rest = n - place  # shingles from the shared one on
+    widths = np.array([len(x) for x in bits])
+    folds: dict[int, np.ndarray] = {}
     for lo in range(0, len(n), _TILE):
         hi = min(lo + _TILE, len(n))
         top = int(np.searchsorted(n, n[hi - 1] * 100 // percent, side="right"))
@@ -217,41 +236,57 @@ def _tile_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.nda
             if at == lo:
                 ok = np.triu(ok, 1)
             i, j = np.nonzero(ok)
-            if len(i):
-                x, y = node[a][i], node[b][j]
-                yield np.minimum(x, y), np.maximum(x, y)
-
-
-def tile_candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different components that share a tile. postings: key, node, comp, spot (size and place)."""
-    dealt = postings.repartition("key").sortWithinPartitions("key", "spot")
+            i, j = i + lo, j + at
+            narrow = np.minimum(widths[i], widths[j])
+            for width in np.unique(narrow).tolist():
+                if width not in folds:
+                    folds[width] = _folded(bits, widths, width)
+                m = folds[width]
+                x, y = i[narrow == width], j[narrow == width]
+                for k in range(0, len(x), 1 << 14):
+                    u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                    shared = (n[u] + n[v] - np.bitwise_count(m[u] ^ m[v]).sum(1, dtype=np.int64)) // 2
+                    good = 100 * shared >= percent * (n[u] + n[v] - shared)
+                    if good.any():
+                        yield np.minimum(node[u[good]], node[v[good]]), np.maximum(node[u[good]], node[v[good]])
+
+
+def _edges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return first, np.concatenate([first[1:], [len(key)]])
+
+
+def tile_rows(postings: DataFrame) -> DataFrame:
+    """The postings (key, node, comp, spot: size and place) of tiles in which several components meet."""
+    dealt = postings.repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         for table in groups(batches, ["key"]):
-            key = table.column("key").to_numpy()
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-            last = np.r_[first[1:], len(key)]
+            first, last = _edges(table.column("key").to_numpy())
             comp = table.column("comp").to_numpy()
             mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            if not mixed.any():
-                continue
-            node, spot = table.column("node").to_numpy(), table.column("spot").to_numpy()
+            if mixed.any():
+                yield from table.filter(pa.array(np.repeat(mixed, last - first))).to_batches()
+
+    return dealt.mapInArrow(run, "key long, node long, comp long, spot long")
+
+
+def tile_candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components that share a tile and pass its bounds."""
+    dealt = rows.withColumn("n", F.shiftright("spot", 20)).join(nodes.select("node", "n", "bits"), ["node", "n"])
+    dealt = dealt.select("key", "spot", "node", "comp", "bits").repartition("key").sortWithinPartitions("key", "spot", "node")
+
+    def run(batches):
+        for table in groups(batches, ["key"]):
+            node, comp, spot = (table.column(c).to_numpy() for c in ("node", "comp", "spot"))
+            bits = table.column("bits")
             n, place = spot >> 20, spot & 0xFFFFF
-            xs, ys, held = [], [], 0
-            for lo, hi in zip(first[mixed].tolist(), last[mixed].tolist(), strict=True):
-                for x, y in _tile_pairs(node[lo:hi], comp[lo:hi], n[lo:hi], place[lo:hi], percent):
-                    xs.append(x)
-                    ys.append(y)
-                    held += len(x)
-                    if held > 1 << 18:
-                        yield _distinct(xs, ys)
-                        xs, ys, held = [], [], 0
-            if xs:
-                yield _distinct(xs, ys)
-
-    def _distinct(xs, ys):
-        both = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            found = []
+            for lo, hi in zip(*(x.tolist() for x in _edges(table.column("key").to_numpy())), strict=True):
+                found += _tile_pairs(node[lo:hi], comp[lo:hi], n[lo:hi], place[lo:hi], bits.slice(lo, hi - lo).to_pylist(), percent)
+            if found:
+                both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -279,7 +314,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     labelled = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     postings = labelled.select("node", F.col("component").alias("comp"), "n", F.posexplode("prefix").alias("place", "key"))
     postings = postings.select("key", "node", "comp", F.shiftleft("n", 20).bitwiseOR(F.least(F.col("place"), F.lit(0xFFFFF)).cast("long")).alias("spot"))
-    pairs = materialize(bound_pairs(tile_candidates(postings, percent), nodes.select("node", "n", "bits"), percent), "pairs")
+    pairs = materialize(tile_candidates(materialize(tile_rows(postings), "tiles"), nodes, percent), "pairs")
     more = materialize(verified(pairs, docs, size, percent).distinct(), "more")
     links = found.unionByName(more)
     final = materialize(connected_components(links), "components") if not more.isEmpty() else parts
