@@ -36,6 +36,7 @@ _TURNS = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 _COMMON = 1 << 18  # shingles put last in the order, at most
 _COUNTED = 3 << 20  # shingles of a block of texts within which a task counts
 _MEMBERS = 256  # members that are compared with one centre in one group
+_SMALL = 8  # rows of a small tile
 _TILE = 2048  # rows of a tile that are compared at once
 
 
@@ -256,23 +257,41 @@ def _edges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.concatenate([first[1:], [len(key)]])
 
 
-def tile_rows(postings: DataFrame) -> DataFrame:
-    """The postings (key, node, comp, spot: size and place) of tiles in which several components meet."""
-    dealt = postings.repartition("key").sortWithinPartitions("key")
+def mixed_tiles(postings: DataFrame, percent: int) -> DataFrame:
+    """Of the postings (key, node, comp, spot: size and place) tiles in which several components meet: pairs of small
+    tiles that size band and places allow (kind 0: node and comp are the pair), and the rows of larger tiles (kind 1)."""
+    dealt = postings.repartition("key").sortWithinPartitions("key", "spot")
+    names = ["kind", "key", "node", "comp", "spot"]
 
     def run(batches):
         for table in groups(batches, ["key"]):
-            first, last = _edges(table.column("key").to_numpy())
-            comp = table.column("comp").to_numpy()
+            key, node, comp, spot = (table.column(c).to_numpy() for c in names[1:])
+            first, last = _edges(key)
             mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            if mixed.any():
-                yield from table.filter(pa.array(np.repeat(mixed, last - first))).to_batches()
-
-    return dealt.mapInArrow(run, "key long, node long, comp long, spot long")
+            size = np.where(mixed, last - first, 0)
+            n, rest = spot >> 20, (spot >> 20) - (spot & 0xFFFFF)
+            xs, ys = [], []
+            for m in range(2, _SMALL + 1):
+                at = first[size == m]
+                for i in range(m if len(at) else 0):
+                    for j in range(i + 1, m):
+                        a, b = at + i, at + j
+                        ok = (comp[a] != comp[b]) & (n[a] * 100 >= n[b] * percent) & ((100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (n[a] + n[b]))
+                        xs.append(np.minimum(node[a[ok]], node[b[ok]]))
+                        ys.append(np.maximum(node[a[ok]], node[b[ok]]))
+            if xs:
+                both = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
+                none = np.zeros(len(both), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(none.astype(np.int32)), pa.array(none), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(none)], names=names)
+            large = np.flatnonzero(np.repeat(size > _SMALL, last - first))
+            if len(large):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(large), np.int32)), *(pa.array(x[large]) for x in (key, node, comp, spot))], names=names)
+
+    return dealt.mapInArrow(run, "kind int, key long, node long, comp long, spot long")
 
 
 def tile_candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different components that share a tile and pass its bounds."""
+    """Pairs (a, b) of nodes of different components that share a large tile and pass its bounds."""
     dealt = rows.withColumn("n", F.shiftright("spot", 20)).join(nodes.select("node", "n", "bits"), ["node", "n"])
     dealt = dealt.select("key", "spot", "node", "comp", "bits").repartition("key").sortWithinPartitions("key", "spot", "node")
 
@@ -288,7 +307,7 @@ def tile_candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFram
                 both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -314,7 +333,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     labelled = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     postings = labelled.select("node", F.col("component").alias("comp"), "n", F.posexplode("prefix").alias("place", "key"))
     postings = postings.select("key", "node", "comp", F.shiftleft("n", 20).bitwiseOR(F.least(F.col("place"), F.lit(0xFFFFF)).cast("long")).alias("spot"))
-    pairs = materialize(tile_candidates(materialize(tile_rows(postings), "tiles"), nodes, percent), "pairs")
+    tiles = materialize(mixed_tiles(postings, percent), "tiles")
+    few = tiles.where("kind = 0").select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct()
+    slim = nodes.select("node", "n", "bits")
+    pairs = bound_pairs(few, slim, percent).unionByName(tile_candidates(tiles.where("kind = 1"), slim, percent))
+    pairs = materialize(pairs.distinct(), "pairs")
     more = materialize(verified(pairs, docs, size, percent).distinct(), "more")
     links = found.unionByName(more)
     final = materialize(connected_components(links), "components") if not more.isEmpty() else parts
