@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _SLICE = 1 << 16
 #: Pieces a worker remembers, and the longest such piece; a full memory starts anew.
-_REMEMBER, _PIECE = 300_000, 48
+_REMEMBER, _PIECE = 800_000, 48
 
 
 def byte_characters() -> dict[str, int]:
@@ -82,27 +82,25 @@ class Vocabulary:
         return most
 
 
+_NONE = 1 << 62
+
+
 def merge(ids: list[int], merges: dict[int, int]) -> list[int]:
-    """Apply merges to a list of ids: lowest rank first, from the left."""
-    none = 1 << 62
+    """Apply merges to a list of ids, which is changed: lowest rank first, from the left."""
     get = merges.get
-    while len(ids) > 1:
-        found = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+    found = [get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:])]  # noqa: B905
+    while found:
         best = min(found)
-        if best == none:
+        if best == _NONE:
             break
-        new = best & 0xFFFFFFFF
         i = found.index(best)
-        out = ids[:i]
-        n = len(ids)
-        while i < n:
-            if i < n - 1 and found[i] == best:
-                out.append(new)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
+        new = best & 0xFFFFFFFF
+        ids[i] = new
+        del ids[i + 1], found[i]
+        if i:
+            found[i - 1] = get(ids[i - 1] << 32 | new, _NONE)
+        if i < len(found):
+            found[i] = get(new << 32 | ids[i + 1], _NONE)
     return ids
 
 

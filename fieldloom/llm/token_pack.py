@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import materialize
 
 #: Words whose ids a worker remembers, and the longest such word; a full memory starts anew.
-_REMEMBER, _WORD = 400_000, 64
+_REMEMBER, _WORD = 1_000_000, 64
+_TOGETHER = 2000  # stems of letters that are encoded at a time
+_TEXTS = 1 << 20  # characters of texts whose words are looked up at a time
+_MARKS = ".,;:!?|#$%&*"
 
 
 @dataclass(frozen=True)
@@ -41,9 +44,11 @@ class Capacities:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space and never joins characters over it.
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never joins characters over it.
 
-    Space and newline always separate, so a text's ids are those of its words in turn, which are remembered."""
+    Space and newline always separate, so a text's ids are those of its words in turn, which are remembered. Of a word that
+    ends in one run of plain punctuation, which is a piece of its own, stem and run are remembered apart; stems of letters
+    only are encoded many at a time, as each ends with a token that is marked as a word's end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,25 +57,55 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        known = self.known
-        words = text.replace("\n", " ").split(" ")
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > _REMEMBER:
-                known.clear()
-                missing = list(set(words))
-            known.update(zip(missing, self._encode(missing), strict=True))
-        out = b"".join(map(known.__getitem__, words))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _encode(self, stems: list[str]) -> dict[str, bytes]:
+        letters = [s for s in stems if s.lower().isalpha()]
+        out = {}
+        for at in range(0, len(letters), _TOGETHER):
+            part = letters[at : at + _TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                out.update(zip(part, (data[4 * lo : 4 * hi] for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        rest = [s for s in stems if s not in out]
+        out.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, tuple[str, str]]:
+        parts = {}
+        for w in missing:
+            stem = w.rstrip(_MARKS)
+            parts[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :]) if stem and stem[-1].isalnum() else (w, "")
+        new = {x for both in parts.values() for x in both} - self.stems.keys()
+        if len(self.stems) + len(new) > _REMEMBER:
+            self.stems.clear()
+            new = {x for both in parts.values() for x in both}
+        self.stems.update(self._encode(list(new)))
+        self.words.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in parts.items())
+        return parts
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit numbers."""
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*lists) - self.words.keys()
+        if len(self.words) + len(missing) > _REMEMBER:
+            self.words.clear()
+            missing = set().union(*lists)
+        parts = self._learn(missing) if missing else {}
+        get = self.words.__getitem__
+        out = [b"".join(map(get, words)) for words in lists]
         for w in missing:
             if len(w) > _WORD:
-                del known[w]
+                del self.words[w]
+                for part in parts[w]:
+                    if len(part) > _WORD:
+                        self.stems.pop(part, None)
         return out
 
 
@@ -82,7 +117,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: in
     into pieces of at most tokens ids. No shuffle."""
 
     def cut(batches):
-        encoder = _encoders.setdefault(tokenizer, WordEncoder(tokenizer)) if tokenizer not in _encoders else _encoders[tokenizer]
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordEncoder(tokenizer)
+        encoder = _encoders[tokenizer]
         last = np.array([end_id], "<u4").tobytes()
         step = 4 * tokens
 
@@ -93,10 +130,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: in
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
-        for batch in batches:
+        def flush_texts(ids, texts):
             rows, held = [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = encoder(text.as_py() or "") + last
+            for doc_id, data in zip(ids, encoder.many(texts), strict=True):
+                data += last
                 for k, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     rows.append((doc_id, k, at // 4, len(part) // 4, part))
@@ -107,6 +144,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: in
             if rows:
                 yield flush(rows)
 
+        for batch in batches:
+            ids, texts, size = [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids.append(doc_id)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size > _TEXTS:
+                    yield from flush_texts(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield from flush_texts(ids, texts)
+
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 

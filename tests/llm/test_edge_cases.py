@@ -56,6 +56,19 @@ def test_packing(odd, none):
     assert token_pack.pack_documents(none, path).count() == 0
 
 
+def test_word_encoder_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), token_pack.WordEncoder(path)
+    r = random.Random(6)
+    parts = ["the", "The", "É", "e\u0301", "ß", "\u0130x", "ΣΑΣ", "it's", "'ll", "don't,", "12", "a1", "!!", "?!.", "|", "<|endoftext|>", "<|startoftext|>", ".", ",", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "日本", "\u1100\u1161", "😀", "x" * 100, "...", "'", "s", "_", "$$$", "&&&", "\u0301"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(400)] + ["", " ", "\n"]
+    for k in range(0, len(texts), 40):
+        got = e.many(texts[k : k + 40])
+        assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts[k : k + 40]]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_keeps_every_capacity(rule):
     r = np.random.default_rng(1)
