@@ -1,0 +1,108 @@
+"""Pixel-level and object-level metrics, paired statistics."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from fieldloom.functions import arrays as A
+from fieldloom.operators import kernels as K
+
+THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+
+
+def confusion(truth: Column, pred: Column) -> dict[str, Column]:
+    """Counts over two boolean arrays of one field."""
+    if_ = lambda f: F.aggregate(F.zip_with(truth, pred, lambda t, p: f(t, p).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return {"tp": if_(lambda t, p: t & p), "fp": if_(lambda t, p: ~t & p), "fn": if_(lambda t, p: t & ~p), "tn": if_(lambda t, p: ~t & ~p)}
+
+
+def semantic_metrics(counts: DataFrame) -> DataFrame:
+    """Metrics of rows with tp, fp, fn, tn; where nothing is to be found and nothing was, 1."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return counts.withColumns({
+        "dice": A.guarded(2 * tp, 2 * tp + fp + fn, 1.0), "iou": A.guarded(tp, tp + fp + fn, 1.0), "precision": A.guarded(tp, tp + fp, 1.0), "recall": A.guarded(tp, tp + fn, 1.0),
+        "specificity": A.guarded(tn, tn + fp, 1.0), "accuracy": A.guarded(tp + tn, tp + fp + fn + tn, 1.0),
+    })
+
+
+def iou_pairs(px: DataFrame) -> DataFrame:
+    """Overlapping object pairs of rows image_id, t, p (label 0: background) with their IoU."""
+    n = px.groupBy("image_id", "t", "p").agg(F.count(F.lit(1)).alias("n"))
+    at = n.groupBy("image_id", "t").agg(F.sum("n").alias("area_t"))
+    ap = n.groupBy("image_id", "p").agg(F.sum("n").alias("area_p"))
+    pairs = n.where("t > 0 and p > 0").join(at, ["image_id", "t"]).join(ap, ["image_id", "p"])
+    return pairs.select("image_id", "t", "p", (F.col("n") / (F.col("area_t") + F.col("area_p") - F.col("n"))).alias("iou"))
+
+
+def match_instances(images: DataFrame, pairs: DataFrame) -> DataFrame:
+    """images (image_id, n_true, n_pred) with matched: IoUs of the one-to-one assignment of largest total IoU.
+
+    One image's pairs are one row, as large as its objects overlap; the assignment is a kernel on that table."""
+    listed = pairs.groupBy("image_id").agg(F.collect_list(F.struct("t", "p", "iou")).alias("pairs"))
+    rows = images.select("image_id", "n_true", "n_pred").join(listed, "image_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for pairs in batch.column("pairs").to_pylist():
+                pairs = pairs or []
+                ts, ps = sorted({r["t"] for r in pairs}), sorted({r["p"] for r in pairs})
+                scores = np.zeros((len(ts), len(ps)))
+                for r in pairs:
+                    scores[ts.index(r["t"]), ps.index(r["p"])] = r["iou"]
+                out.append(sorted((float(scores[a, b]) for a, b in K.assign(scores) if scores[a, b] > 0), reverse=True) if pairs else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image_id", "n_true", "n_pred")), pa.array(out, pa.list_(pa.float64()))], names=["image_id", "n_true", "n_pred", "matched"])
+
+    return rows.mapInArrow(run, "image_id long, n_true int, n_pred int, matched array<double>")
+
+
+def average_precision(n_true: Column, n_pred: Column, matched: Column, threshold: float) -> Column:
+    tp = F.size(F.filter(matched, lambda v: v >= threshold - 1e-12))
+    return A.guarded(tp, n_true + n_pred - tp, 1.0)
+
+
+def instance_metrics(matches: DataFrame) -> DataFrame:
+    """Metrics at 0.50, average precision over thresholds, and counts."""
+    t, p, m = F.col("n_true"), F.col("n_pred"), F.col("matched")
+    good = F.filter(m, lambda v: v >= 0.5 - 1e-12)
+    out = matches.withColumn("tp", F.size(good)).withColumns({"fp": p - F.col("tp"), "fn": t - F.col("tp"), "mean_matched_iou": F.coalesce(F.try_divide(A.total(good), F.size(good).cast("double")), F.lit(0.0))})
+    out = out.withColumns({"precision": A.guarded(F.col("tp"), p, 1.0), "recall": A.guarded(F.col("tp"), t, 1.0)})
+    out = out.withColumn("f1", A.guarded(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    aps = [average_precision(t, p, m, x) for x in THRESHOLDS]
+    out = out.withColumns({f"ap_{int(round(100 * x))}": e for x, e in zip(THRESHOLDS, aps, strict=True)} | {"ap_mean": sum(aps[1:], aps[0]) / F.lit(float(len(aps)))})
+    return out.withColumns({"count_error": p - t, "count_abs_error": F.abs(p - t), "count_rel_error": A.guarded(F.abs(p - t), t)})
+
+
+def keep_first(df: DataFrame, key: str, *order) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+def wilcoxon(diffs: DataFrame, column: str = "d") -> DataFrame:
+    """n, w_plus, w_minus, w of the signed ranks of the non-zero differences, ties with their mean rank."""
+    ties = diffs.where(F.col(column) != 0).groupBy(F.abs(column).alias("a")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(column) > 0).alias("up"))
+    before = F.sum("c").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ties.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2.0)
+    out = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("c") - F.col("up"))), F.lit(0.0)).alias("w_minus"))
+    return out.withColumn("w", F.least("w_plus", "w_minus"))
+
+
+def bootstrap_interval(values: np.ndarray, resamples: int = 10_000, seed: int = 0) -> tuple[float, float]:
+    """95 % interval of the mean."""
+    if not len(values):
+        raise ValueError("no pairs")
+    r = np.random.default_rng(seed)
+    means = values[r.integers(0, len(values), (resamples, len(values)))].mean(1)
+    return tuple(np.percentile(means, [2.5, 97.5]))
+
+
+def split_ids(ids: list[str], val: float = 0.15, test: float = 0.15, seed: int = 42) -> dict[str, list[str]]:
+    """Sizes are rounded half to even; val first, then test, the rest train, after a seeded shuffle of the sorted ids."""
+    if val + test >= 1:
+        raise ValueError("fractions must leave something to train on")
+    order = np.random.default_rng(seed).permutation(sorted(ids)).tolist()
+    v, t = round(len(order) * val), round(len(order) * test)
+    return {"val": order[:v], "test": order[v : v + t], "train": order[v + t :]}
