@@ -70,8 +70,8 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM d),
 g AS (SELECT doc_id, i, words[i:i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
-dup AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
-r AS (SELECT doc_id, count(DISTINCT at) AS n FROM dup GROUP BY doc_id),
+dup AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS spot FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT spot) AS n FROM dup GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, lower(regexp_replace(trim(x, E' \t\n\x0b\x0c\r'), '[ \t-\r]+', ' ', 'g')) AS line,
              len(list_filter(regexp_split_to_array(x, '[ \t-\r]+'), lambda y: y <> '')) AS k FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM w)),
 f AS (SELECT source, line, count(DISTINCT text) AS c FROM l GROUP BY source, line),
