@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import groups, materialize
+from fieldloom.llm.common import BROADCAST_BYTES, broadcast_if_small, groups, materialize
 
 
 @dataclass(frozen=True)
 class Settings:
     """neighbours: length of the lists; sample: members of each direction compared in a round; bucket: rows of a block of
-    the start; expand, beam, hops: of the search."""
+    the start; links: of a node that the search follows, forward and backward; beam, expand, hops: of the search."""
 
     neighbours: int = 40
     sample: int = 18
@@ -36,9 +36,10 @@ class Settings:
     bucket: int = 192
     start: int = 10
     rounds: int = 3
-    beam: int = 64
-    expand: int = 10
-    hops: int = 3
+    links: int = 64
+    beam: int = 240
+    expand: int = 40
+    hops: int = 6
     seed: int = 7
 
 
@@ -147,21 +148,30 @@ def build_graph(nodes: DataFrame, how: Settings = Settings()) -> DataFrame:
     return graph
 
 
+def broadcast_vectors(rows: DataFrame) -> DataFrame:
+    """Rows of an id and a vector, with the hint of a broadcast if all of them are known to be small."""
+    n, length = rows.agg(F.count(F.lit(1)), F.max(F.size(rows.columns[1]))).first()
+    return broadcast_if_small(rows, n * (4 * (length or 0) + 32), BROADCAST_BYTES)
+
+
 def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, how: Settings = Settings()) -> DataFrame:
     """q, node, s: the beam of every query (q: its node) after the last hop."""
     own = nodes.join(queries, nodes["node"] == queries["q"])
+    asked = broadcast_vectors(own.select("q", F.col("vector").alias("qv")))
     square = F.expr("aggregate(vector, 0D, (acc, x) -> acc + cast(x as double) * cast(x as double))")
     pool = own.select("q", "node", square.alias("s"), F.lit(True).alias("done"))
     pool = pool.unionByName(graph.join(queries, graph["a"] == queries["q"]).select("q", F.col("b").alias("node"), "s", F.lit(False).alias("done")))
     pool = materialize(pool, "beam")
     best = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-    lists = graph.select(F.col("a").alias("node"), F.col("b").alias("next"))
-    vectors = nodes.select("node", "vector")
+    # the search also follows links backwards
+    both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    lists = materialize(best_lists(both, how.links).select(F.col("a").alias("node"), F.col("b").alias("next")), "lists")
+    vectors = broadcast_vectors(nodes.select("node", "vector"))
     for _ in range(how.hops):
         open_ = pool.where("not done").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= how.expand).select("q", "node")
         seen = pool.select("q", "node")
         steps = open_.join(lists, "node").select("q", F.col("next").alias("node")).distinct().join(seen, ["q", "node"], "left_anti")
-        rows = steps.join(vectors, "node").join(vectors.select(F.col("node").alias("q"), F.col("vector").alias("qv")), "q")
+        rows = steps.join(vectors, "node").join(asked, "q")
 
         def score(batches):
             for batch in batches:
