@@ -52,11 +52,14 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary Arrow array as (bytes, offsets); a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
-        column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    kind = np.int64 if wide else np.int32
+    buffer = column.buffers()[1]
+    if buffer is None or not buffer.size:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(buffer, dtype=kind, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]

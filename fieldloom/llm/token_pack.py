@@ -155,6 +155,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: in
                     ids, texts, size = [], [], 0
             if ids:
                 yield from flush_texts(ids, texts)
+        encoder.words.clear()  # an idle worker holds no memory for later stages
+        encoder.stems.clear()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
