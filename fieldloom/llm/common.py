@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import platform
+import sys
 import tempfile
 import uuid
 
@@ -16,7 +19,30 @@ BROADCAST_BYTES = 48 << 20
 #: Bytes of text that one numpy step takes; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
 
+_BATCH_ROWS = 4000
 _own_folder: list[str] = []
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
+
+
+def tidy(task):
+    """A function of Arrow batches whose worker, when it ends, gives free memory back: idle workers stay small."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _libc is not None:
+                _libc.malloc_trim(0)
+
+    return run
+
+
+def bounded_batches(spark: SparkSession, rows: int = _BATCH_ROWS) -> None:
+    """Arrow batches of whole texts of at most rows rows in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:

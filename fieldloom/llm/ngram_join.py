@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bytehash import mix, shingle_sets
-from fieldloom.llm.common import BROADCAST_ROWS, broadcast_if_small, groups, materialize, steps, text_bytes
+from fieldloom.llm.common import BROADCAST_ROWS, broadcast_if_small, groups, materialize, steps, text_bytes, tidy
 from fieldloom.llm.components import connected_components
 
 U = np.uint64
@@ -52,6 +52,7 @@ def common_shingles(docs: DataFrame, size: int, least: int = 3) -> np.ndarray:
 
     Every text is read; the list has a fixed bound and only orders shingles."""
 
+    @tidy
     def count(batches):
         def flush(held):
             values, n = np.unique(np.concatenate(held), return_counts=True)
@@ -95,6 +96,7 @@ def prefix_length(n: int, percent: int) -> int:
 def signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id, f1, f2 (fingerprint of the set), n, prefix, bits, mins of every document."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -142,6 +144,7 @@ def bound_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     joined = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
+    @tidy
     def run(batches):
         for batch in batches:
             na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
@@ -167,6 +170,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     # a doc_id that several rows share is compared by each of its texts
     texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, rows, BROADCAST_ROWS), F.col("doc_id") == F.col("_id")).select("a", "part", "role", "doc_id", "text")
 
+    @tidy
     def arrays(batches):
         for batch in batches:
             out, held, lo = [], 0, 0
@@ -182,6 +186,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     # an AQE-coalesced shuffle by group; sorted, so that a centre comes before its members
     dealt_sets = dealt_sets.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
+    @tidy
     def compare(batches):
         now, centre = None, []
         for batch in batches:
@@ -263,6 +268,7 @@ def mixed_tiles(postings: DataFrame, percent: int) -> DataFrame:
     dealt = postings.repartition("key").sortWithinPartitions("key", "spot")
     names = ["kind", "key", "node", "comp", "spot"]
 
+    @tidy
     def run(batches):
         for table in groups(batches, ["key"]):
             key, node, comp, spot = (table.column(c).to_numpy() for c in names[1:])
@@ -295,6 +301,7 @@ def tile_candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     dealt = rows.withColumn("n", F.shiftright("spot", 20)).join(nodes.select("node", "n", "bits"), ["node", "n"])
     dealt = dealt.select("key", "spot", "node", "comp", "bits").repartition("key").sortWithinPartitions("key", "spot", "node")
 
+    @tidy
     def run(batches):
         for table in groups(batches, ["key"]):
             node, comp, spot = (table.column(c).to_numpy() for c in ("node", "comp", "spot"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bytehash
-from fieldloom.llm.common import steps, text_bytes
+from fieldloom.llm.common import steps, text_bytes, tidy
 
 #: Kinds of bytes: lower, upper, digit, space, line feed, other control, beyond ASCII, then these symbols, then the others.
 _SYMBOLS = ".,;:!?#$%&*|<>()[]{}/\\@=+-_\"'"
@@ -127,6 +127,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tu
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
 
+    @tidy
     def terms(batches):
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
@@ -148,6 +149,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))

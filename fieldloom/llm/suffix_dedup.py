@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bytehash import Rolling, mix
-from fieldloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, groups, longs, materialize, steps, text_bytes
+from fieldloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, groups, longs, materialize, steps, text_bytes, tidy
 from fieldloom.llm.external_queue import Scratch
 from fieldloom.llm.induced_sort import suffix_order
 
 U = np.uint64
 _FIRST = -(1 << 63)  # stands for a null doc_id
 _STRETCH = 1024  # bytes of the first document whose segments share a shard
-_BLOCK = 16 << 20  # bytes of text within which a task reduces equal segments
+_BLOCK = 8 << 20  # bytes of text within which a task reduces equal segments
 _SORT = 2 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
 
 
@@ -87,6 +87,7 @@ def anchored(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """anchor, seg, doc, start, runs of the segments that are the earliest copies in their block of texts (kind 0), and
     the spans (kind 1: doc, start, end in runs) that their later copies cover."""
 
+    @tidy
     def run(batches):
         def flush(held):
             doc, start, runs, anchor, seg = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -138,6 +139,7 @@ def resolve(rows: DataFrame, width: int) -> DataFrame:
     dealt = rows.select("anchor", "seg", "doc", F.shiftleft("start", 16).bitwiseOR(F.col("runs")).alias("at"))
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", "seg", "doc", "at")
 
+    @tidy
     def run(batches):
         for table in groups(batches, ["anchor"]):
             anchor, seg, doc, at = (table.column(c).to_numpy() for c in ("anchor", "seg", "doc", "at"))
@@ -207,6 +209,7 @@ def suffix_sorted(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     # neighbouring segments of one shard and document become one text
     slim = wanted.repartition("doc").sortWithinPartitions("doc", "shard", "start")
 
+    @tidy
     def join_segments(batches):
         for table in groups(batches, ["doc"]):
             doc, shard, start, end = (table.column(c).to_numpy() for c in ("doc", "shard", "start", "end"))
@@ -227,6 +230,7 @@ def suffix_sorted(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     small = (n[1] or 0) <= BROADCAST_ROWS and n[0] <= BROADCAST_ROWS
     texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_FIRST))).drop("doc_id").join(F.broadcast(spans) if small else spans, "doc")
 
+    @tidy
     def cut(batches):
         for batch in batches:
             held, size = [], 0
@@ -247,6 +251,7 @@ def suffix_sorted(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     shards = texts.select("doc", "text", "cuts").mapInArrow(cut, "shard long, doc long, start long, data binary")
     shards = shards.repartition("shard").sortWithinPartitions("shard", "doc", "start")
 
+    @tidy
     def sort(batches):
         with Scratch() as scratch:
             pieces, size = [], 0
@@ -279,6 +284,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, gram: int = 32) -> DataFra
     spans = rows.where("kind = 1").select("doc", "start", F.col("runs").alias("end")).unionByName(found.where("kind = 1").select("doc", "start", "end")).unionByName(sorted_)
     dealt = spans.repartition("doc").sortWithinPartitions("doc", "start")
 
+    @tidy
     def merge(batches):
         for table in groups(batches, ["doc"]):
             doc, start, end = (table.column(c).to_numpy() for c in ("doc", "start", "end"))
@@ -301,6 +307,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32) -> DataFra
     spans = spans.withColumnsRenamed({"doc": "__doc", "spans": "__spans"})
     joined = docs.join(F.broadcast(spans) if small else spans, F.coalesce("doc_id", F.lit(_FIRST)) == F.col("__doc"), "left").drop("__doc")
 
+    @tidy
     def run(batches):
         for batch in batches:
             kept, n_bytes, n_removed, n_spans = [], [], [], []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import materialize, tidy
 
 #: Words whose ids a worker remembers, and the longest such word; a full memory starts anew.
 _REMEMBER, _WORD = 400_000, 64
@@ -116,6 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: in
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32 bits): every document's ids and end_id, cut
     into pieces of at most tokens ids. No shuffle."""
 
+    @tidy
     def cut(batches):
         if tokenizer not in _encoders:
             _encoders[tokenizer] = WordEncoder(tokenizer)
@@ -207,6 +208,7 @@ def pack_pieces(pieces: DataFrame, capacities: Capacities = Capacities(), weight
     n = max(1, math.ceil(total / group_tokens))
     limits, share = capacities.vector(), np.asarray(weights, float)
 
+    @tidy
     def pack(batches):
         table = pa.Table.from_batches(list(batches), schema=None) if (batches := [b for b in batches if b.num_rows]) else None
         if table is None:
