@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import ngram_join, quality_knn, quality_rules, suffix_dedup, token_pack
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import bounded_batches, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; lines that are frequent on their host are removed from the text."""
+    bounded_batches(spark)
     return quality_rules.kept_documents(docs.select(*COLUMNS))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, takes for good."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     model = quality_knn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_knn.score_documents(docs, model).where("score >= 0.3").select(*COLUMNS)
@@ -30,6 +32,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near duplicates."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     gone = ngram_join.jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
     return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
@@ -37,6 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without bytes that repeat earlier strings of 100 bytes; what is left of a cut character goes too."""
+    bounded_batches(spark)
     out = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), F.lit("�"), F.lit(""))).otherwise(F.col("text"))
     changed = out.withColumn("text", text)
@@ -45,6 +49,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 4096 tokens."""
+    bounded_batches(spark)
     return token_pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
