@@ -24,6 +24,13 @@ _own_folder: list[str] = []
 _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
 
 
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def tidy(task):
     """A function of Arrow batches whose worker, when it ends, gives free memory back: idle workers stay small."""
 
@@ -31,9 +38,7 @@ def tidy(task):
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if _libc is not None:
-                _libc.malloc_trim(0)
+            release()
 
     return run
 
