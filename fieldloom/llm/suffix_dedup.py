@@ -31,7 +31,7 @@ U = np.uint64
 _FIRST = -(1 << 63)  # stands for a null doc_id
 _STRETCH = 1024  # bytes of the first document whose segments share a shard
 _BLOCK = 8 << 20  # bytes of text within which a task reduces equal segments
-_SORT = 2 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
+_SORT = 1 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int):
@@ -253,7 +253,7 @@ def suffix_sorted(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     @tidy
     def sort(batches):
-        with Scratch() as scratch:
+        with Scratch(4 << 20) as scratch:
             pieces, size = [], 0
             for part in groups(batches, ["shard"]):
                 shard = part.column("shard").to_numpy()
