@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import materialize, tidy
 
 #: Words whose ids a worker remembers, and the longest such word; a full memory starts anew.
-_REMEMBER, _WORD = 400_000, 64
+_REMEMBER, _WORD = 150_000, 64
 _TOGETHER = 2000  # stems of letters that are encoded at a time
-_TEXTS = 2 << 20  # characters of texts whose words are looked up at a time
+_TEXTS = 1 << 20  # characters of texts whose words are looked up at a time
 _MARKS = ".,;:!?|#$%&*"
 
 
