@@ -18,17 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import materialize, tidy
 
-#: Words whose ids a worker remembers, and the longest such word; a full memory starts anew.
-_REMEMBER, _WORD = 150_000, 64
-_TOGETHER = 2000  # stems of letters that are encoded at a time
-_TEXTS = 1 << 20  # characters of texts whose words are looked up at a time
+_TOGETHER = 4000  # stems of letters that are encoded at a time
+_TEXTS = 4 << 20  # characters of texts whose words are counted once, at least one text
 _MARKS = ".,;:!?|#$%&*"
+_BEFORE_MARKS = r"(?s)^.*[^.,;:!?|#$%&*]"  # greedy: up to the last other character
 
 
 @dataclass(frozen=True)
@@ -46,67 +46,84 @@ class Capacities:
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases, drops white space and never joins characters over it.
 
-    Space and newline always separate, so a text's ids are those of its words in turn, which are remembered. Of a word that
-    ends in one run of plain punctuation, which is a piece of its own, stem and run are remembered apart; stems of letters
-    only are encoded many at a time, as each ends with a token that is marked as a word's end."""
+    Space and newline always separate, so a text's ids are those of its words in turn. Words are cut, counted once each and
+    put together again as Arrow and NumPy arrays. Of a word that ends in one run of plain punctuation, which is a piece of
+    its own, stem and run are encoded apart; stems of letters only go many at a time, as each ends with a token that is
+    marked as a word's end. Nothing is kept from one call to the next."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.letters = Tokenizer(self.tokenizer.model)  # the same merges, for what is lower-case ASCII already
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _encode(self, stems: list[str]) -> dict[str, bytes]:
-        letters = [s for s in stems if s.lower().isalpha()]
-        out = {}
-        for at in range(0, len(letters), _TOGETHER):
-            part = letters[at : at + _TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                data = ids.tobytes()
-                out.update(zip(part, (data[4 * lo : 4 * hi] for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
-        rest = [s for s in stems if s not in out]
-        out.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        return out
-
-    def _learn(self, missing: set[str]) -> dict[str, tuple[str, str]]:
-        parts = {}
-        for w in missing:
-            stem = w.rstrip(_MARKS)
-            parts[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :]) if stem and stem[-1].isalnum() else (w, "")
-        new = {x for both in parts.values() for x in both} - self.stems.keys()
-        if len(self.stems) + len(new) > _REMEMBER:
-            self.stems.clear()
-            new = {x for both in parts.values() for x in both}
-        self.stems.update(self._encode(list(new)))
-        self.words.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in parts.items())
-        return parts
+
+    def _encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every unit, one after the other, and where each unit's ids begin."""
+        letters = pc.utf8_is_alpha(units)
+        ascii_only = pc.string_is_ascii(units)
+        pools, where, counts = [], [], []
+        rest = [np.flatnonzero(pc.invert(letters).to_numpy(zero_copy_only=False))]
+        for tokenizer, chosen in ((self.letters, pc.and_(letters, ascii_only)), (self.tokenizer, pc.and_(letters, pc.invert(ascii_only)))):
+            at = np.flatnonzero(chosen.to_numpy(zero_copy_only=False))
+            for lo in range(0, len(at), _TOGETHER):
+                part = at[lo : lo + _TOGETHER]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(units.take(pa.array(part)).to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(part):
+                    pools.append(ids)
+                    where.append(part)
+                    counts.append(np.diff(cuts, prepend=0))
+                else:
+                    rest.append(part)
+        at = np.concatenate(rest)
+        for lo in range(0, len(at), _TOGETHER):
+            part = at[lo : lo + _TOGETHER]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(units.take(pa.array(part)).to_pylist(), add_special_tokens=False)]
+            pools.append(np.array([i for ids in found for i in ids], "<u4"))
+            where.append(part)
+            counts.append(np.array([len(ids) for ids in found], np.int64))
+        order, count = np.concatenate(where), np.concatenate(counts)
+        begin, length = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        begin[order], length[order] = np.cumsum(count) - count, count
+        return _ragged(np.concatenate(pools), begin, length), np.concatenate([[0], np.cumsum(length)])
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit numbers."""
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*lists) - self.words.keys()
-        if len(self.words) + len(missing) > _REMEMBER:
-            self.words.clear()
-            missing = set().union(*lists)
-        parts = self._learn(missing) if missing else {}
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in lists]
-        for w in missing:
-            if len(w) > _WORD:
-                del self.words[w]
-                for part in parts[w]:
-                    if len(part) > _WORD:
-                        self.stems.pop(part, None)
-        return out
+        if not texts:
+            return []
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_string())
+        stems = pc.utf8_rtrim(words, characters=_MARKS)
+        last = pc.utf8_slice_codeunits(stems, -1)  # a letter that splits into letter and mark keeps the run beside it
+        apart = pc.and_(pc.utf8_is_alnum(pc.utf8_slice_codeunits(pc.utf8_normalize(last, "NFC"), -1)), pc.not_equal(last, "\u0130"))
+        stems = pc.ascii_lower(pc.if_else(apart, stems, words))
+        marks = pc.utf8_slice_codeunits(words, 0, 0)
+        if pc.any(apart).as_py():
+            marks = pc.if_else(apart, pc.replace_substring_regex(words, _BEFORE_MARKS, ""), marks)
+        units = pa.chunked_array([stems, marks]).combine_chunks().dictionary_encode()
+        pool, edges = self._encode(units.dictionary)
+        unit = units.indices.to_numpy().reshape(2, -1).T.ravel()  # stem and run of every word in turn
+        pool, length = _ragged(pool, edges[unit], np.diff(edges)[unit]), np.diff(edges)[unit].reshape(-1, 2).sum(1)
+        begin = np.cumsum(length) - length
+        word = coded.indices.to_numpy()
+        ids = _ragged(pool, begin[word], length[word])
+        ends = np.concatenate([[0], np.cumsum(length[word])])[lists.offsets.to_numpy()].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])]
+
+
+def _ragged(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs pool[begin : begin + length], one after the other."""
+    at = np.repeat(begin - (np.cumsum(length) - length), length)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -156,8 +173,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: in
                     ids, texts, size = [], [], 0
             if ids:
                 yield from flush_texts(ids, texts)
-        encoder.words.clear()  # an idle worker holds no memory for later stages
-        encoder.stems.clear()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
