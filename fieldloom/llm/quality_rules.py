@@ -119,13 +119,13 @@ def removed_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def quality_rules(
-    docs: DataFrame, line_share: float = 0.1, min_docs: int = 20, max_removed: float = 0.5, repeat_share: float = 0.5, min_words: int = 50
+    docs: DataFrame, line_share: float = 0.1, min_docs: int = 20, max_removed: float = 0.5, repeat_share: float = 0.5, min_words: int = 50, frequent: DataFrame | None = None
 ) -> DataFrame:
     """The counts of base_counts, removed_words, and kept: not base_failed, and at most max_removed of the words in lines
-    that are frequent on the host."""
+    that are frequent on the host. frequent: the rows of frequent_lines, where they are at hand."""
     keyed = docs.select("doc_id", "text", "source")
     base = base_counts(keyed, repeat_share, min_words)
-    depleted = removed_words(keyed, frequent_lines(keyed, line_share, min_docs))
+    depleted = removed_words(keyed, frequent_lines(keyed, line_share, min_docs) if frequent is None else frequent)
     depleted = depleted.groupBy("doc_id").agg(F.max("removed_words").alias("removed_words"))
     out = base.alias("b").join(depleted.alias("d"), F.col("b.doc_id").eqNullSafe(F.col("d.doc_id")), "left")
     removed = F.coalesce(F.col("d.removed_words"), F.lit(0)).cast("long")
@@ -138,7 +138,7 @@ def kept_documents(docs: DataFrame, line_share: float = 0.1, min_docs: int = 20,
 
     The frequent lines of a host are few (see frequent_lines) and meet the host's rows as one array."""
     frequent = materialize(frequent_lines(docs, line_share, min_docs), "frequent")
-    judged = quality_rules(docs, line_share, min_docs, max_removed, repeat_share, min_words)
+    judged = quality_rules(docs, line_share, min_docs, max_removed, repeat_share, min_words, frequent)
     gone = judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     arrays = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_hot"))
