@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import materialize, tidy
 
 _TOGETHER = 4000  # stems of letters that are encoded at a time
-_TEXTS = 4 << 20  # characters of texts whose words are counted once, at least one text
+_TEXTS = 2 << 20  # characters of texts whose words are counted once, at least one text
 _MARKS = ".,;:!?|#$%&*"
 _BEFORE_MARKS = r"(?s)^.*[^.,;:!?|#$%&*]"  # greedy: up to the last other character
 
@@ -121,8 +121,10 @@ class WordEncoder:
 
 def _ragged(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The runs pool[begin : begin + length], one after the other."""
-    at = np.repeat(begin - (np.cumsum(length) - length), length)
-    at += np.arange(len(at))
+    ends = np.cumsum(length)
+    kind = np.int32 if max(len(pool), ends[-1] if len(ends) else 0) < 1 << 31 else np.int64
+    at = np.repeat((begin - ends + length).astype(kind), length)
+    at += np.arange(len(at), dtype=kind)
     return pool[at]
 
 
