@@ -125,13 +125,20 @@ def glcm(px: DataFrame, levels: int = 32) -> DataFrame:
     return out.select("image_id", "label", *(F.when(some, F.col(f"_{c}")).otherwise(F.lit(0.0)).alias(f"glcm_{c}") for c in features))
 
 
+def hulls(fields: DataFrame) -> DataFrame:
+    """image_id, label, convex_area_px of every object of labelled fields; no shuffle."""
+    found = K.map_fields(fields.select("image_id", "height", "width", "labels"), K.convex_areas, "_convex", "array<int>", ("labels",))
+    rows = found.select("image_id", F.posexplode("_convex").alias("p", "n")).where("n > 0")
+    return rows.select("image_id", (F.col("p") + 1).alias("label"), F.col("n").cast("double").alias("convex_area_px"))
+
+
 def circularity(area: Column, perimeter: Column) -> Column:
     return F.when(perimeter <= 0, F.lit(0.0)).otherwise(A.clip(4 * math.pi * area / (perimeter * perimeter)))
 
 
 def feature_table(fields: DataFrame, height: int = 8, width: int = 8) -> DataFrame:
-    """Geometry, perimeter, intensity and texture of every object, joined on the object."""
+    """Geometry, perimeter, convex hull, intensity and texture of every object, joined on the object."""
     px = label_pixels(fields)
     keys = ["image_id", "label"]
-    out = geometry(px, height, width).join(perimeter_euler(fields), keys).join(intensity(px), keys, "left").join(glcm(px), keys, "left")
-    return out.withColumn("circularity", circularity(F.col("area_px"), F.col("perimeter_crofton_px")))
+    out = geometry(px, height, width).join(perimeter_euler(fields), keys).join(intensity(px), keys, "left").join(glcm(px), keys, "left").join(hulls(fields), keys)
+    return out.withColumn("solidity", F.col("area_px") / F.col("convex_area_px")).withColumn("circularity", circularity(F.col("area_px"), F.col("perimeter_crofton_px")))

@@ -301,6 +301,21 @@ def intensity_features(spark, sf_dir):
     return t.select("image_id", "label", *(F.round(c, 6).alias(c) for c in t.columns[2:]))
 
 
+#: A hull of lattice points in a box is what all lattice directions of the box leave; the edge middles add max(|a|, |b|).
+_HULL = (
+    ", dir AS (SELECT a, b FROM range(-16, 17) s(a), range(-16, 17) t(b) WHERE gcd(a, b) = 1), sup AS (SELECT image_id, label, a, b, max(2 * (a * y + b * x)) + greatest(abs(a), abs(b)) AS h FROM lab, dir GROUP BY image_id, label, a, b),"
+    " box AS (SELECT image_id, label, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lab GROUP BY ALL), cell AS (SELECT image_id, label, area, gy, gx FROM box, range(8) s(gy), range(8) t(gx) WHERE gy BETWEEN y0 AND y1 AND gx BETWEEN x0 AND x1),"
+    " ins AS (SELECT image_id, label, any_value(area) AS area, gy, gx FROM cell JOIN sup USING (image_id, label) GROUP BY image_id, label, gy, gx HAVING max(2 * (a * gy + b * gx) - h) <= 0)"
+)
+
+
+@query(f"WITH RECURSIVE {LAB}{_HULL} SELECT image_id, label::INT AS label, count(*)::DOUBLE AS convex_area_px, round(any_value(area) / count(*), 6) AS solidity FROM ins GROUP BY image_id, label")
+def object_hull(spark, sf_dir):
+    f = _objects(spark, sf_dir)
+    t = M.label_pixels(f).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("area")).join(M.hulls(f), ["image_id", "label"])
+    return t.select("image_id", "label", "convex_area_px", F.round(F.col("area") / F.col("convex_area_px"), 6).alias("solidity"))
+
+
 _LEVEL = ", q AS (SELECT image_id, label, y, x, CASE WHEN max(v) OVER w - min(v) OVER w <= 0 THEN 1 ELSE least(greatest(floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 30) + 1, 1), 31) END::INT AS l FROM lab WINDOW w AS (PARTITION BY image_id, label))"
 
 
