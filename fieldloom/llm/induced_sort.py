@@ -177,7 +177,7 @@ def _doubled(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         width *= 2
 
 
-def suffix_order(text: np.ndarray, kinds: int, cap: int, scratch: Scratch, base: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, kinds: int, cap: int, scratch: Scratch, base: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of text and common prefixes (up to cap) of neighbours; the last symbol is 0 and occurs only there.
 
     Symbols are below kinds. The recursion ends at base names, which are sorted in memory."""

@@ -178,6 +178,9 @@ def sorted_spans(pieces: list[tuple[int, int, bytes]], width: int, scratch: Scra
         at += len(data) + 1
     text[at] = 0
     order, shared = suffix_order(text, 258, width, scratch)
+    alike = shared >= width
+    alike[:-1] |= alike[1:]  # a suffix without a like neighbour is in no class
+    order, shared = order[alike], shared[alike]
     piece = np.searchsorted(firsts, order, side="right") - 1
     inside = order - firsts[piece]
     whole = inside + width <= np.array([*size], np.int64)[piece]
