@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and for the rest host word segmentation with multinomial naive Bayes.
 
 A host name is cut into words by a unigram Viterbi search; the words' counts are those of a documented seed lexicon and of
-the separated tokens of all urls of the table. Naive Bayes scores the host's and path's tokens; its training examples are
+the separated tokens of all paths of the table. Naive Bayes scores the host's and path's tokens; its training examples are
 the seed urls. Rules win over the model; the longest rule that fits wins over the others.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and verdict allow; an empty table
@@ -123,7 +123,7 @@ def raw_tokens(url: str) -> list[str]:
 
 
 def build_model(counts: dict[str, int]) -> tuple[Segmenter, NaiveBayes]:
-    """counts: of the separated tokens of the table's urls. Seed words weigh as seen often enough to be preferred."""
+    """counts: of the separated tokens of the table's paths. Seed words weigh as seen often enough to be preferred."""
     seed = Counter(t for u in BAD_URLS + GOOD_URLS for t in raw_tokens(u)) + Counter(NEUTRAL)
     weight = max(1, sum(counts.values()) // 1000)
     merged = Counter(counts)
@@ -135,10 +135,11 @@ def build_model(counts: dict[str, int]) -> tuple[Segmenter, NaiveBayes]:
 
 
 def token_counts(pages: DataFrame, max_words: int = 20_000) -> dict[str, int]:
-    """Counts over all urls of the tokens between their separators; the most frequent max_words, a fixed bound on what the
-    driver and every worker hold."""
-    url = F.lower(F.substring_index(F.col("url"), "://", -1))
-    words = F.explode(F.filter(F.split(url, "[^\\p{L}]+"), lambda w: (F.length(w) > 0) & (F.length(w) <= _MAX_WORD)))
+    """Counts over all urls' paths of the tokens between their separators; the most frequent max_words, a fixed bound on what
+    the driver and every worker hold. Host names are left out: there, words stand together, and such a name counted as a
+    word would never be cut."""
+    path = F.lower(F.regexp_extract("url", "(?s)^.*?://[^/?#]*([^?#]*)", 1))
+    words = F.explode(F.filter(F.split(path, "[^\\p{L}]+"), lambda w: (F.length(w) > 0) & (F.length(w) <= _MAX_WORD)))
     rows = pages.select(words.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(max_words)
     return {r.w: r.n for r in rows.collect()}
 
