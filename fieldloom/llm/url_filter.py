@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and for the rest host word segmentation with multinomial naive Bayes.
 
 A host name is cut into words by a unigram Viterbi search; the words' counts are those of a documented seed lexicon and of
-the separated tokens of all paths of the table. Naive Bayes scores the host's and path's tokens; its training examples are
+the separated tokens of all paths of the table, however many and long: the counts stay a table, and the substrings of every
+distinct name are joined to it. Naive Bayes scores the host's and path's tokens; its training examples are
 the seed urls. Rules win over the model; the longest rule that fits wins over the others.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and verdict allow; an empty table
@@ -13,12 +14,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, materialize, tidy
+
 #: (verdict, host, path start)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -48,7 +51,6 @@ the-daily-post.com/story their-house.net/home other-people.org/blog then-and-now
 NEUTRAL = "www blog m example com net org en de fr es html index page".split()
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MAX_WORD = 24
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -75,26 +77,29 @@ def match_rule(host: str, path: str, rules=RULES) -> tuple[str | None, str | Non
 class Segmenter:
     """Unigram Viterbi: the cut of a name into words with the greatest product of word probabilities.
 
-    An unknown word of n letters has the probability of one occurrence, divided by ten for every letter."""
+    An unknown word of n letters has the probability of one occurrence, divided by ten for every letter. total: of all
+    counts and one, where counts holds only the words that occur in the names to be cut."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(total)
-        self.longest = max(map(len, counts), default=1)
-        self.cut = lru_cache(1 << 16)(self._cut)
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
-    def _cut(self, name: str) -> tuple[str, ...]:
-        if len(name) > 253:  # longer than any host name: no label of a real host
-            return (name,)
-        best, back = [0.0], [0]
+    def cut(self, name: str) -> tuple[str, ...]:
+        # a known word never costs more than the same letters as an unknown one, so of the unknown words that end at one
+        # letter only that with the least cost before it counts: "run" is where it begins
+        letter = math.log(10)
+        best, back, run = [0.0], [0], 0
         for end in range(1, len(name) + 1):
-            least, at = math.inf, 0
-            for begin in range(end):
-                word = name[begin:end]
-                cost = best[begin] + self.cost.get(word, self.unknown + (end - begin) * math.log(10))
-                if cost < least:
-                    least, at = cost, begin
+            if best[end - 1] - (end - 1) * letter < best[run] - run * letter:
+                run = end - 1
+            least, at = best[run] + self.unknown + (end - run) * letter, run
+            for n in self.lengths:
+                if n <= end and (cost := self.cost.get(name[end - n : end])) is not None:
+                    cost += best[end - n]
+                    if cost < least or (cost == least and end - n < at):
+                        least, at = cost, end - n
             best.append(least)
             back.append(at)
         out, end = [], len(name)
@@ -122,47 +127,137 @@ def raw_tokens(url: str) -> list[str]:
     return _LETTERS.findall(url.lower())
 
 
-def build_model(counts: dict[str, int]) -> tuple[Segmenter, NaiveBayes]:
-    """counts: of the separated tokens of the table's paths. Seed words weigh as seen often enough to be preferred."""
-    seed = Counter(t for u in BAD_URLS + GOOD_URLS for t in raw_tokens(u)) + Counter(NEUTRAL)
-    weight = max(1, sum(counts.values()) // 1000)
-    merged = Counter(counts)
-    for word, n in seed.items():
-        merged[word] += n * weight
-    segmenter = Segmenter(merged)
-    cut = lambda u: [w for t in raw_tokens(u) for w in segmenter.cut(t) if len(w) > 1 and w not in NEUTRAL]
-    return segmenter, NaiveBayes([cut(u) + NEUTRAL for u in GOOD_URLS], [cut(u) + NEUTRAL for u in BAD_URLS])
+#: Counts of the seed examples' words.
+SEED = Counter(t for u in BAD_URLS + GOOD_URLS for t in raw_tokens(u)) + Counter(NEUTRAL)
+
+_FACTOR = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_HASHES = 1 << 16  # of substrings that are handed on at a time
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
 
 
-def token_counts(pages: DataFrame, max_words: int = 20_000) -> dict[str, int]:
-    """Counts over all urls' paths of the tokens between their separators; the most frequent max_words, a fixed bound on what
-    the driver and every worker hold. Host names are left out: there, words stand together, and such a name counted as a
-    word would never be cut."""
+def substring_hashes(name: str, lengths: list[int]):
+    """Arrays of the 64-bit hashes of all substrings with these lengths, one array a length. Equal substrings have equal
+    hashes; a word that only shares a hash is not in the name, so no cut can use it."""
+    letters = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(letters * _powers(_FACTOR, len(name))[:-1], dtype=np.uint64)])
+    back = _powers(_INVERSE, len(name))
+    for n in lengths:
+        if n <= len(name):
+            yield ((sums[n:] - sums[:-n]) * back[: len(name) - n + 1]).view(np.int64)
+
+
+def path_words(pages: DataFrame) -> DataFrame:
+    """word, n, h: counts over all urls' paths of the tokens between their separators, and the tokens' hashes. Host names are
+    left out: there, words stand together, and such a name counted as a word would never be cut."""
     path = F.lower(F.regexp_extract("url", "(?s)^.*?://[^/?#]*([^?#]*)", 1))
-    words = F.explode(F.filter(F.split(path, "[^\\p{L}]+"), lambda w: (F.length(w) > 0) & (F.length(w) <= _MAX_WORD)))
-    rows = pages.select(words.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(max_words)
-    return {r.w: r.n for r in rows.collect()}
+    words = F.explode(F.filter(F.split(path, "[^\\p{L}]+"), lambda w: F.length(w) > 0))
+    counts = pages.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    @tidy
+    def hashed(batches):
+        for batch in batches:
+            h = [int(x[0]) for w in batch.column("word").to_pylist() for x in substring_hashes(w, [len(w)])]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(h, pa.int64())], names=["word", "n", "h"])
+
+    return counts.mapInArrow(hashed, "word string, n long, h long")
+
+
+def cut_names(names: DataFrame, words: DataFrame) -> DataFrame:
+    """name, words: every one of the distinct names, cut. words: of path_words; a name meets those that are among its
+    substrings, so no task holds them all."""
+    found = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.octet_length("word") + 32)).first()
+    seen, rows, size = (x or 0 for x in found)
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
+    # seed words weigh as seen often enough to be preferred
+    weight = max(1, seen // 1000)
+    seed = {w: n * weight for w, n in SEED.items()}
+    total = seen + sum(seed.values()) + 1
+    names = materialize(names.withColumn("name_id", F.monotonically_increasing_id()), "names")
+
+    @tidy
+    def substrings(batches):
+        def flush(held):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["name_id", "h"])
+
+        for batch in batches:
+            held, n = [], 0
+            for name, name_id in zip(batch.column("name").to_pylist(), batch.column("name_id").to_pylist(), strict=True):
+                for h in substring_hashes(name, lengths):
+                    h = np.unique(h)
+                    held.append((np.full(len(h), name_id, np.int64), h))
+                    n += len(h)
+                    if n >= _HASHES:
+                        yield flush(held)
+                        held, n = [], 0
+            if held:
+                yield flush(held)
+
+    slim = F.broadcast(words) if size <= BROADCAST_BYTES and rows <= BROADCAST_ROWS else words
+    known = names.mapInArrow(substrings, "name_id long, h long").join(slim, "h")
+    known = known.groupBy("name_id").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
+
+    @tidy
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for name, known, n in zip(*(batch.column(c).to_pylist() for c in ("name", "known", "n")), strict=True):
+                counts = {w: k for w, k in seed.items() if w in name}
+                for w, k in zip(known or (), n or (), strict=True):
+                    counts[w] = k + seed.get(w, 0)
+                out.append(Segmenter(counts, total).cut(name))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
+
+    return names.join(known, "name_id", "left").select("name", "known", "n").mapInArrow(cut, "name string, words array<string>")
+
+
+def build_model(cuts: dict[str, list[str]]) -> NaiveBayes:
+    """cuts: of the seed examples' tokens."""
+    cut = lambda u: [w for t in raw_tokens(u) for w in cuts[t] if len(w) > 1 and w not in NEUTRAL]
+    return NaiveBayes([cut(u) + NEUTRAL for u in GOOD_URLS], [cut(u) + NEUTRAL for u in BAD_URLS])
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.0) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds; null where a rule decides or no host is found), words."""
-    counts = token_counts(pages)
+    spark = pages.sparkSession
 
-    def judge(batches):
-        segmenter, model = build_model(counts)
-        score_host = lru_cache(1 << 16)(lambda host: tuple(w for t in raw_tokens(host) for w in segmenter.cut(t)))
+    @tidy
+    def split(batches):
         for batch in batches:
             out = []
-            for page_id, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True):
+            for row, page_id, url in zip(*(batch.column(c).to_pylist() for c in ("row", "page_id", "url")), strict=True):
                 host, path = split_url(url)
-                rule, verdict = match_rule(host, path, rules)
-                words = [*score_host(host), *(w for t in raw_tokens(path) for w in segmenter.cut(t))]
-                score = model.score(words) if rule is None and host else None
-                out.append((page_id, host, path, rule, verdict or ("block" if score is not None and score > threshold else "allow"), score, words))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())]
+                out.append((row, page_id, host, path, *match_rule(host, path, rules), raw_tokens(host) + raw_tokens(path)))
+            kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)],
+                names=["row", "page_id", "host", "path", "rule", "verdict", "names"],
+            )
+
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url")
+    urls = materialize(numbered.mapInArrow(split, "row long, page_id long, host string, path string, rule string, verdict string, names array<string>"), "urls")
+    tokens = urls.select("row", F.posexplode("names").alias("spot", "name"))
+    seeds = spark.createDataFrame([(w,) for w in SEED], "name string")
+    cuts = materialize(cut_names(tokens.select("name").unionByName(seeds).distinct(), materialize(path_words(pages), "words")), "cuts")
+    model = build_model({r.name: r.words for r in cuts.join(F.broadcast(seeds), "name").collect()})
+    rows, size = cuts.agg(F.count(F.lit(1)), F.sum(2 * F.octet_length("name") + 64)).first()
+    slim = F.broadcast(cuts) if size <= BROADCAST_BYTES and rows <= BROADCAST_ROWS else cuts
+    words = tokens.join(slim, "name").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("spot", "words"))).alias("cut"))
+    words = words.select("row", F.flatten("cut.words").alias("words"))
+
+    @tidy
+    def judge(batches):
+        for batch in batches:
+            rules, verdicts, words = (batch.column(c).to_pylist() for c in ("rule", "verdict", "words"))
+            scores = [model.score(w or []) if rule is None and host else None for rule, host, w in zip(rules, batch.column("host").to_pylist(), words, strict=True)]
+            verdicts = [v or ("block" if s is not None and s > threshold else "allow") for v, s in zip(verdicts, scores, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64()), pa.array([w or [] for w in words], pa.list_(pa.string()))],
                 names=["page_id", "host", "path", "rule", "verdict", "score", "words"],
             )
 
-    return pages.select("page_id", "url").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, score double, words array<string>")
+    joined = urls.drop("names").join(words, "row", "left").drop("row")
+    return joined.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, score double, words array<string>")

@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
 
+import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -329,6 +331,37 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages(spark, [])).count() == 0
 
 
+def plain_cut(name, counts, total):
+    """Viterbi over every begin of every word."""
+    best = [(0.0, ())]
+    for end in range(1, len(name) + 1):
+        found = []
+        for begin in range(end):
+            word = name[begin:end]
+            cost = math.log(total / counts[word]) if word in counts else math.log(total) + len(word) * math.log(10)
+            found.append((best[begin][0] + cost, (*best[begin][1], word)))
+        best.append(min(found, key=lambda x: x[0]))
+    return list(best[-1][1])
+
+
+def test_urls_count_every_path_word(spark):
+    fill = ["zq" + "".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(20_000)]
+    long = "abcdefghijklmnopqrstuvwxyzabcdefghijkl"
+    paths = ["/".join(fill[k : k + 500]) for k in range(0, len(fill), 500)] * 5 + [f"playground/sussex/{long}"] * 4
+    rows = [(k, "http://x.net/" + path, "") for k, path in enumerate(paths)]
+    hosts = ["playground", "sussex", "sussexplayground", long + "casino", "casino" * 50, "qqqq" * 20, fill[7] + "win"]
+    rows += [(1000 + k, f"http://{host}.net/", "") for k, host in enumerate(hosts)]
+    out = {r.page_id: r for r in url_filter.judge_urls(pages(spark, rows)).where("page_id >= 1000").collect()}
+    counts = collections.Counter(w for path in paths for w in path.split("/"))
+    seen = sum(counts.values())
+    for w, n in url_filter.SEED.items():
+        counts[w] += n * max(1, seen // 1000)
+    want = [plain_cut(host, counts, sum(counts.values()) + 1) + ["net"] for host in hosts]
+    assert [out[1000 + k].words for k in range(len(hosts))] == want
+    assert want[0] == ["playground", "net"] and want[1] == ["sussex", "net"] and want[3] == [long, "casino", "net"] and want[4] == ["casino"] * 50 + ["net"]
+    assert [out[1000 + k].verdict for k in (0, 1, 4)] == ["allow", "allow", "block"]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as P
 
