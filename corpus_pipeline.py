@@ -34,7 +34,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, the smallest doc_id, of each group of near duplicates."""
     bounded_batches(spark)
     docs = docs.select(*COLUMNS)
-    gone = ngram_join.jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
+    gone = ngram_join.jaccard_components(docs, with_links=False).where("component_id <> doc_id").select("doc_id")
     return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -12,6 +12,8 @@ intersecting sorted arrays of all shingles of both texts.
 Large groups of near copies are linked first: sets that share a minimum of one of four permutations are compared, by the
 same bounds and exact intersections, with the smallest of their group only. Pairs within a component so found need no
 further link; the tiles leave them out and find every link between components. Copies are never expanded into pairs.
+Once components are known, the links of every set are counted by comparing all sets of its component, in tiles that keep
+counts and no pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer
 words than a shingle has its whole sequence as its one shingle; sets are compared through 64-bit hashes; rows that repeat
@@ -38,6 +40,9 @@ _COUNTED = 3 << 20  # shingles of a block of texts within which a task counts
 _MEMBERS = 256  # members that are compared with one centre in one group
 _SMALL = 8  # rows of a small tile
 _TILE = 2048  # rows of a tile that are compared at once
+_BLOCK_SETS = 256  # sets of a block of a component, while it has at most _BLOCKS blocks
+_BLOCKS = 8
+_BLOCK_SHINGLES = 2 << 20  # shingles of a block, about
 
 
 def _sets(batch, size: int):
@@ -93,6 +98,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def _fingerprint(h: np.ndarray) -> tuple[int, int]:
+    a, b = (h * U(3) ^ (h >> U(32))).sum(dtype=np.uint64), mix(h ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(a.astype(np.int64)), int(b.astype(np.int64))
+
+
 def signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id, f1, f2 (fingerprint of the set), n, prefix, bits, mins of every document."""
 
@@ -109,8 +119,7 @@ def signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray) ->
                     p = prefix_length(n, percent)
                     early = h[~late]
                     prefix = early[:p] if len(early) >= p else np.concatenate([early, h[late][: p - len(early)]])
-                    a, b = (h * U(3) ^ (h >> U(32))).sum(dtype=np.uint64), mix(h ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                    rows.append((ids[k], int(a.astype(np.int64)), int(b.astype(np.int64)), n, prefix.view(np.int64), parity_bits(h, width_of(n)).tobytes(), [int((h * t).min().astype(np.int64)) for t in _TURNS]))
+                    rows.append((ids[k], *_fingerprint(h), n, prefix.view(np.int64), parity_bits(h, width_of(n)).tobytes(), [int((h * t).min().astype(np.int64)) for t in _TURNS]))
                     held += 8 * p + 200
                 else:
                     rows.append((ids[k], 0, 0, 0, [], b"", []))
@@ -317,8 +326,108 @@ def tile_candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and links: the verified links of the row's class that were needed."""
+def _partners(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of others every set reaches the threshold with, and the reverse; without others, of the rest of sets."""
+    both = sets if others is None else sets + others
+    n = np.array([len(x) for x in both], np.int64)
+    order = np.argsort(n, kind="stable")
+    first = order < len(sets)
+    n = n[order]
+    column = np.unique(np.concatenate([both[k] for k in order]), return_inverse=True)[1].astype(np.int32)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    often = np.bincount(column)[column] > 1  # what one set holds is in no intersection
+    column, kept = column[often], np.bincount(row[often], minlength=len(n))
+    begin = np.concatenate([[0], np.cumsum(kept)])
+    links = np.zeros(len(n), np.int64)
+    mark = np.zeros(int(column.max(initial=0)) + 1, np.int32)
+    for i in range(len(n)):
+        top = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        if i + 1 >= top:
+            continue
+        mine = column[begin[i] : begin[i + 1]]
+        mark[mine] = 1
+        sums = np.concatenate([[0], np.cumsum(mark[column[begin[i + 1] : begin[top]]])])
+        mark[mine] = 0
+        same = np.diff(sums[begin[i + 1 : top + 1] - begin[i + 1]])
+        good = 100 * same >= percent * (n[i] + n[i + 1 : top] - same)
+        if others is not None:
+            good &= first[i + 1 : top] != first[i]
+        links[i] += good.sum()
+        links[i + 1 : top] += good
+    out = np.empty(len(n), np.int64)
+    out[order] = links
+    return out[: len(sets)], out[len(sets) :]
+
+
+def count_links(docs: DataFrame, classes: DataFrame, final: DataFrame, size: int, percent: int) -> DataFrame:
+    """f1, f2, n, links: of every set with a link the number of other sets that reach the threshold with it.
+
+    classes: f1, f2, n, node; final: node, component. All links of a set are in its component. The sets of a component are
+    dealt to blocks, and every two blocks of it meet in one tile, where links are counted and not kept: a set is copied
+    once a block, up to _BLOCKS times, or more where blocks would hold over _BLOCK_SHINGLES shingles."""
+    known = classes.join(final, "node")
+    blocks = known.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
+    number = F.greatest(F.least(F.ceil(F.col("rows") / F.lit(_BLOCK_SETS)), F.lit(_BLOCKS)), F.ceil(F.col("shingles") / F.lit(_BLOCK_SHINGLES)))
+    blocks = blocks.select("component", number.cast("int").alias("blocks"))
+    wanted = materialize(known.join(blocks, "component").select("node", "component", "blocks").distinct(), "wanted")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted), F.col("doc_id") == F.col("node")).select("text", "component", "blocks")
+
+    names = ["f1", "f2", "n", "component", "blocks", "h"]
+
+    @tidy
+    def sets(batches):
+        for batch in batches:
+            component, blocks = batch.column("component").to_pylist(), batch.column("blocks").to_pylist()
+            rows, held = [], 0
+            for k, h in _sets(batch, size):
+                if len(h):
+                    rows.append((*_fingerprint(h), len(h), component[k], blocks[k], h.tobytes()))
+                    held += 8 * len(h) + 100
+                if held > 4 << 20:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    def batch_of(rows):
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    rows = texts.mapInArrow(sets, "f1 long, f2 long, n long, component long, blocks long, h binary")
+    # copies of a set have one block; tile: the smaller block, then the larger one
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("f1", "f2", "n"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "f1", "f2", "n", "h")
+    rows = rows.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+
+    @tidy
+    def count(batches):
+        for table in groups(batches, ["component", "low", "high"]):
+            component, low, high, block, f1, f2, n = (table.column(c).to_numpy() for c in ("component", "low", "high", "block", "f1", "f2", "n"))
+            h = table.column("h")
+            edges = np.flatnonzero((np.diff(component) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+            out = []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(n)], strict=True):
+                _, at = np.unique(np.stack([f1[lo:hi], f2[lo:hi], n[lo:hi]]), axis=1, return_index=True) if hi - lo > 1 else (None, np.zeros(1, np.int64))
+                at += lo
+                here = [np.sort(at[block[at] == b]) for b in sorted({low[lo], high[lo]})]
+                if not all(map(len, here)):
+                    continue
+                held = [[np.frombuffer(h[k].as_py(), np.uint64) for k in x] for x in here]
+                for x, links in zip(here, _partners(held[0], held[1] if len(held) > 1 else None, percent), strict=False):
+                    x, links = x[links > 0], links[links > 0]
+                    out.append((f1[x], f2[x], n[x], links))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["f1", "f2", "n", "links"])
+
+    counted = rows.mapInArrow(count, "f1 long, f2 long, n long, links long")
+    return counted.groupBy("f1", "f2", "n").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, with_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and, with_links, links: the number of other sets that reach the
+    threshold with the row's own."""
     docs = docs.select("doc_id", "text")
     sigs = materialize(signatures(docs, size, percent, common_shingles(docs, size)), "signatures")
     full = sigs.where("n > 0 and doc_id is not null")
@@ -349,9 +458,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     links = found.unionByName(more)
     final = materialize(connected_components(links), "components") if not more.isEmpty() else parts
 
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    known = members.select("doc_id", "n", "node").distinct().join(final, "node", "left").join(degree, "node", "left")
-    known = known.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
+    known = members.select("doc_id", "n", "node").distinct().join(final, "node", "left")
+    known = known.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     # a document whose class is headed by another belongs to that component; its id may be the smallest of it
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    out = sigs.select("doc_id", "f1", "f2", "n").join(known, "doc_id", "left")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if not with_links:
+        return out.select(*columns)
+    counted = materialize(count_links(docs, classes, final, size, percent), "links")
+    out = out.join(broadcast_if_small(counted), ["f1", "f2", "n"], "left")
+    return out.select(*columns, F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("links"))

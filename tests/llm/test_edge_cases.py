@@ -152,6 +152,30 @@ def test_ngram_join_on_a_large_group_of_near_copies(spark):
     assert dict(zip(out.doc_id, out.component_id, strict=True)) == brute_components(sorted(sets), sets)
 
 
+def test_ngram_join_counts_every_link(spark, odd, monkeypatch):
+    r = random.Random(10)
+    words = [f"v{k}" for k in range(400)]
+    rows = [(d, t, s) for d, t, s in odd_texts()]
+    for g, k in enumerate((700, 40, 2)):
+        base = [r.choice(words) for _ in range(90)]
+        for d in range(k):
+            w = list(base)
+            for _ in range(r.randrange(0, 5)):
+                w[r.randrange(90)] = r.choice(words)
+            rows.append((1000 * g + 100 + d, " ".join(w), "a"))
+    rows += rows[100:130] + [(5000 + d, t, s) for d, (_, t, s) in enumerate(rows[200:220])]  # repeated rows, and copies
+    sets = {t: frozenset(shingles(t)) for _, t, _ in rows}
+    kinds = list({sets[t] for d, t, _ in rows if d is not None and sets[t]})
+    near = {a: sum(100 * len(a & b) >= 75 * len(a | b) for b in kinds) - 1 for a in kinds}
+    want = sorted((-1 if d is None else d, len(sets[t]), near[sets[t]] if d is not None and sets[t] else 0) for d, t, _ in rows)
+    assert max(n for _, _, n in want) > 300
+    for blocks, shingles_of in ((8, 1 << 21), (1, 2000)):
+        monkeypatch.setattr(ngram_join, "_BLOCKS", blocks)
+        monkeypatch.setattr(ngram_join, "_BLOCK_SHINGLES", shingles_of)
+        out = ngram_join.jaccard_components(documents(spark, rows)).toPandas()
+        assert sorted((-1 if d != d or d is None else int(d), n, k) for d, n, k in zip(out.doc_id, out.n_shingles, out.links, strict=True)) == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, 400), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
