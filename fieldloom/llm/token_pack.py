@@ -104,7 +104,9 @@ class WordEncoder:
         stems = pc.utf8_rtrim(words, characters=_MARKS)
         last = pc.utf8_slice_codeunits(stems, -1)  # a letter that splits into letter and mark keeps the run beside it
         apart = pc.and_(pc.utf8_is_alnum(pc.utf8_slice_codeunits(pc.utf8_normalize(last, "NFC"), -1)), pc.not_equal(last, "\u0130"))
-        stems = pc.ascii_lower(pc.if_else(apart, stems, words))
+        stems = pc.if_else(apart, stems, words)
+        # special tokens are matched before the tokenizer lower-cases: <|ENDOFTEXT|> is none
+        stems = pc.if_else(pc.match_substring(stems, "<|"), stems, pc.ascii_lower(stems))
         marks = pc.utf8_slice_codeunits(words, 0, 0)
         if pc.any(apart).as_py():
             marks = pc.if_else(apart, pc.replace_substring_regex(words, _BEFORE_MARKS, ""), marks)

@@ -19,3 +19,10 @@ def test_ids_equal_the_tokenizers():
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want, text[:80]
     assert encoder.many([]) == []
+
+
+def test_special_tokens_keep_their_case():
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|>, b", "X<|StartOfText|>Y! <|endoftext|>", "A<|endoftext|>B."]
+    for text, got in zip(texts, encoder.many(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
