@@ -8,6 +8,10 @@ window stays bounded, however long a piece is.
 Decoding feeds token bytes through a UTF-8 state machine that keeps the bytes of at most one unfinished character;
 malformed bytes become U+FFFD as in lossy decoding.
 
+The classes of characters that the pattern names are those of the tokenizer's own table: where the table here differs, a
+stand-in of the right class takes a character's place while a text is cut. Texts go through in slices, also those without
+white space; a long piece goes through the transducer slice by slice. What a worker remembers of short pieces is bounded.
+
 Defined results: a null text is empty: no tokens, digests of the empty string; strings of special tokens in a text are
 those tokens; rows that repeat a doc_id are encoded each; an empty table gives an empty one; extra columns are ignored.
 """
@@ -17,18 +21,49 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from bisect import bisect_left
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from fieldloom.llm.common import tidy
+
 #: The public pattern of byte-level BPE that splits a text into pieces before the merges.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_CUT = regex.compile(r"\S(?=\s)")  # a piece ends there for certain
 _SLICE = 1 << 16
+_TOGETHER = 4096  # pieces of a slice without white space that are handed on at once
 #: Pieces a worker remembers, and the longest such piece; a full memory starts anew.
-_REMEMBER, _PIECE = 800_000, 48
+_REMEMBER, _PIECE = 300_000, 48
+#: A character of each class: letter, number, white space, any other.
+_STAND_INS = {"L": "a", "N": "1", "S": "\t", "O": "!"}
+
+
+def stray_characters(path: str) -> list[tuple[int, int, str]]:
+    """Ranges (first, last, stand-in) of the code points whose class in the tokenizer's table differs from the one here.
+
+    All code points in a row go through the tokenizer's own cutter: its pieces are runs of one class, which one character
+    of the run then tells, set behind a character of each class."""
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    here = {k: regex.compile(p) for k, p in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("S", r"\s+"), ("O", r"[^\s\p{L}\p{N}]+"))}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out: list[tuple[int, int, str]] = []
+    for _, (lo, hi) in cut(every):
+        lo += every[lo] == " " and hi - lo > 1  # a space that leads a piece of another class
+        kind = next((k for k, c in _STAND_INS.items() if k != "S" and len(cut(c + every[lo])) == 1), "S")
+        same = {at for m in here[kind].finditer(every, lo, hi) for at in range(*m.span())}
+        for at in range(lo, hi) if len(same) < hi - lo else ():
+            if at not in same:
+                c = ord(every[at])
+                if out and out[-1][1] == c - 1 and out[-1][2] == _STAND_INS[kind]:
+                    out[-1] = (out[-1][0], c, out[-1][2])
+                else:
+                    out.append((c, c, _STAND_INS[kind]))
+    return out
 
 
 def byte_characters() -> dict[str, int]:
@@ -160,13 +195,18 @@ class Decoder:
 
 
 class Codec:
-    """Whole texts through the transducer; short pieces are remembered as (ids as text, bytes of their tokens)."""
+    """Whole texts through the transducer; short pieces are remembered as (ids as text, bytes of their tokens).
 
-    def __init__(self, path: str):
+    strays: of stray_characters, where that is at hand."""
+
+    def __init__(self, path: str, strays: list[tuple[int, int, str]] | None = None):
         self.vocabulary = Vocabulary(path)
         self.lookahead = self.vocabulary.lookahead()
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")") if self.vocabulary.special else None
+        strays = stray_characters(path) if strays is None else strays
+        self.stand_ins = {c: x for lo, hi, x in strays for c in range(lo, hi + 1)}
+        self.strays = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi, _ in strays) + "]") if strays else None
 
     def piece_ids(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")
@@ -176,40 +216,75 @@ class Codec:
         t = Transducer(v, self.lookahead)
         return t.feed(data) + t.end()
 
+    def _made(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return b",".join(b"%d" % i for i in ids), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+
     def _digest(self, piece: str) -> tuple[bytes, bytes]:
-        ids = self.piece_ids(piece)
-        made = (b",".join(b"%d" % i for i in ids), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)))
+        made = self._made(self.piece_ids(piece))
         if len(piece) <= _PIECE:
             if len(self.known) >= _REMEMBER:
                 self.known.clear()
             self.known[piece] = made
         return made
 
-    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """Slices that end where a piece ends for certain, before white space that follows another character; special tokens."""
+    def _joined(self, pieces: list[str]) -> tuple[bytes, bytes]:
+        get, make = self.known.get, self._digest
+        got = [get(p) or make(p) for p in pieces]
+        return b",".join([g[0] for g in got]), b"".join([g[1] for g in got])
+
+    def _streamed(self, text: str, lo: int, hi: int) -> Iterator[tuple[bytes, bytes]]:
+        """One long piece, text[lo:hi], through the transducer; ids are handed on as they become final."""
+        t = Transducer(self.vocabulary, self.lookahead)
+        for at in range(lo, hi, _SLICE):
+            ids = t.feed(text[at : min(at + _SLICE, hi)].encode("utf-8"))
+            if ids:
+                yield self._made(ids)
+        yield self._made(t.end())
+
+    def _unbroken(self, text: str, shape: str, at: int) -> Iterator[tuple[bytes, bytes] | int]:
+        """Pieces from at on until a slice is done, then where they end; for stretches without white space."""
+        held, end = [], at
+        for m in PIECES.finditer(shape, at):
+            lo, end = m.span()
+            if end - lo > _SLICE:
+                if held:
+                    yield self._joined(held)
+                    held = []
+                yield from self._streamed(text, lo, end)
+            else:
+                held.append(text[lo:end])
+                if len(held) >= _TOGETHER:
+                    yield self._joined(held)
+                    held = []
+            if end - at >= _SLICE:
+                break
+        if held:
+            yield self._joined(held)
+        yield end
+
+    def segments(self, text: str) -> Iterator[tuple[bytes, bytes]]:
+        """(ids in decimal joined by commas, bytes of the tokens) of successive slices of a text."""
         for part in self.special.split(text) if self.special else [text]:
             if part in self.vocabulary.special:
-                yield part, True
+                yield b"%d" % self.vocabulary.special[part], part.encode()
                 continue
+            shape = part if self.strays is None or part.isascii() or not self.strays.search(part) else part.translate(self.stand_ins)
             at = 0
             while at < len(part):
-                end = at + _SLICE
-                if end < len(part):
-                    cut = regex.compile(r"\S(?=\s)").search(part, end)
-                    end = cut.end() if cut else len(part)
-                yield part[at:end], False
+                end = len(part)
+                if end - at > _SLICE:
+                    cut = _CUT.search(shape, at + _SLICE, at + 2 * _SLICE)
+                    if cut is None:
+                        for made in self._unbroken(part, shape, at):
+                            if isinstance(made, int):
+                                at = made
+                            else:
+                                yield made
+                        continue
+                    end = cut.start() + 1
+                yield self._joined(PIECES.findall(part, at, end) if shape is part else [part[m.start() : m.end()] for m in PIECES.finditer(shape, at, end)])
                 at = end
 
-    def segments(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """(ids in decimal joined by commas, bytes of the tokens) of successive slices of a text."""
-        get, make = self.known.get, self._digest
-        for part, special in self._parts(text):
-            if special:
-                yield b"%d" % self.vocabulary.special[part], part.encode()
-                continue
-            got = [get(p) or make(p) for p in PIECES.findall(part)]
-            yield b",".join([g[0] for g in got]), b"".join([g[1] for g in got])
-
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.segments(text) for i in ids.split(b",")]
 
@@ -231,18 +306,20 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, strays: list[tuple[int, int, str]] | None = None) -> Codec:
     """The worker's codec of a tokenizer file."""
     if path not in _codecs:
-        _codecs[path] = Codec(path)
+        _codecs[path] = Codec(path, strays)
     return _codecs[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (array of int), decoded (text decoded from them) of every row; no shuffle."""
+    strays = stray_characters(tokenizer)
 
+    @tidy
     def run(batches):
-        c = codec(tokenizer)
+        c = codec(tokenizer, strays)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = c.encode(text.as_py() or "")
@@ -253,9 +330,11 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded and decoded slice by slice, without keeping either."""
+    strays = stray_characters(tokenizer)
 
+    @tidy
     def run(batches):
-        c = codec(tokenizer)
+        c = codec(tokenizer, strays)
         for batch in batches:
             rows = [c.digests(t.as_py() or "") for t in batch.column("text")]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
