@@ -1,16 +1,18 @@
 """URL filters: rules by host and path, and for the rest host word segmentation with multinomial naive Bayes.
 
-A host name is cut into words by a unigram Viterbi search; the words' counts are those of a documented seed lexicon and of
-the separated tokens of all paths of the table, however many and long: the counts stay a table, and the substrings of every
-distinct name are joined to it. Naive Bayes scores the host's and path's tokens; its training examples are
-the seed urls. Rules win over the model; the longest rule that fits wins over the others.
-
-Defined results: a null url, or one without ://, has an empty host and path, no rule, and verdict allow; an empty table
-gives an empty one; ties of rules of one length go to block; extra columns are ignored.
+A name is cut into words by a unigram Viterbi search. Half of a word's probability is its share of all words of the table's
+urls' paths and pages' texts, however many and long: these counts stay a table, and the substrings of every distinct name
+are joined to it. The other half comes from the ranks of a public tokenizer's whole words by Zipf's law. Naive Bayes
+scores the host's and path's tokens; its examples are lists of words by the kind of page that they are usual on. Rules win
+over the model; the longest rule that fits wins over the others.
+
+Defined results: a null url, or one without ://, has an empty host and path, no rule, and verdict allow; null html has no
+words; an empty table gives an empty one; ties of rules of one length go to block; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -25,30 +27,31 @@ from fieldloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, materialize, t
 #: (verdict, host, path start)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Seed examples of the model, as urls whose names are already separated.
-BAD_URLS = """
-casino-win.com/play casino-slots.net/win online-casino.org/jackpot poker-win.com/bonus best-casino.net/free free-bets.com/odds
-sports-bets.net/bet bets-win.org/free betting-odds.com/free roulette-win.net/casino lucky-slots.com/spin lottery-win.org/jackpot
-cheap-pills.com/buy pills-online.net/order buy-viagra.com/cheap viagra-pills.org/buy cialis-cheap.net/pills pharmacy-cheap.com/pills
-diet-pills.net/buy cheap-meds.org/order adult-x.com/video adult-video.net/sex sex-cams.com/live porn-tube.net/xxx xxx-video.org/porn
-live-cams.net/adult hot-sex.com/girls nude-girls.net/xxx escort-girls.com/sex adult-dating.org/hot spam-farm.com/link link-farm.net/spam
-spam-links.org/farm seo-spam.com/links ads-track.com/click ads-click.net/track track-click.org/ads banner-ads.com/track popup-ads.net/click
-ad-server.com/track ads-server.net/pixel crack-keygen.com/serial warez-crack.net/download torrent-crack.org/free payday-loans.com/cash
-cash-loans.net/fast fast-cash.com/money replica-watches.net/cheap fake-watches.com/buy hack-tool.net/crack phishing-login.com/bank
-""".split()
-GOOD_URLS = """
-blog.example.com/en/1 www.example.org/news m.example.net/en/12 example.com/about news-daily.com/world city-library.org/books school-math.net/lesson
-open-source.org/docs science-journal.com/article history-museum.org/visit garden-tips.net/plants travel-guide.com/city food-recipes.net/soup
-music-review.org/album weather-report.com/today health-clinic.org/doctor book-club.net/reading family-photo.com/album art-gallery.org/painting
-university-press.com/paper local-news.net/story sport-team.org/match film-review.com/movie code-notes.net/python language-school.org/french
-data-science.com/post nature-park.net/trail job-market.org/work home-design.com/kitchen train-times.net/station post-office.org/letter
-forum.example.com/fr/2 wiki.example.net/de/3 docs.example.org/es/4 blog.example.net/page.html www.example.com/index.html m.example.org/fr/7
-people.example.com/team shop.example.net/cart mail.example.org/help photo.example.com/es/8 video.example.net/en/9 map.example.com/de/10
-the-daily-post.com/story their-house.net/home other-people.org/blog then-and-now.com/history thing-of-day.net/photo thread-shop.com/en
-""".split()
-
-#: Tokens that say nothing about a page; every seed example of either class has them once.
-NEUTRAL = "www blog m example com net org en de fr es html index page".split()
+#: Words of pages that a filter blocks, by kind of page. The model takes each kind as one example, plurals included.
+BLOCKED = {
+    "gambling": "casino poker slot roulette blackjack jackpot baccarat bingo lottery lotto bet betting bookmaker bookie wager gamble gambling odds sportsbook tipster spin",
+    "adult": "adult sex porn porno xxx nude naked erotic escort fetish hentai webcam camgirl milf hookup sexy stripper nsfw",
+    "pharmacy": "pill pharmacy viagra cialis levitra steroid xanax valium tramadol prescription meds drugstore slimming anabolic",
+    "malware": "warez crack cracked keygen serial torrent hack hacked malware phishing exploit botnet trojan stealer carding",
+    "money": "payday loan forex bitcoin crypto investment doubler giveaway bonus profit millionaire",
+    "fakes": "replica counterfeit fake knockoff rolex outlet",
+    "spam": "spam spammer backlink seo traffic doorway autoblog splog",
+    "advertising": "ad ads advert adserver banner popup popunder tracker tracking clicktrack affiliate sponsor doubleclick pixel beacon",
+}
+#: The same of pages that it allows.
+ALLOWED = {
+    "news": "news daily times post journal herald press report weather story magazine world today politics",
+    "learning": "school university college library course lesson learn math science history language dictionary wiki encyclopedia museum research",
+    "technology": "code docs developer software open source data cloud linux python forum support download manual tutorial",
+    "home": "garden recipe food kitchen cook travel guide hotel city house family baby pet dog cat wedding",
+    "health": "health doctor clinic hospital dental care medical wellness yoga fitness",
+    "culture": "music film movie book art photo gallery theatre band radio tv review game sport football club team",
+    "business": "shop store company bank insurance lawyer office job career market trade auto car design studio",
+    "public": "gov council police church charity community foundation society association park transport station",
+    "personal": "blog diary my home page about contact friends notes people",
+}
+#: Words of pages of either kind, which say nothing: part of every example.
+NEUTRAL = "www blog m example com net org en de fr es html index page free best cheap online win play hot link track farm live buy sale top new the of and".split()
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -80,7 +83,7 @@ class Segmenter:
     An unknown word of n letters has the probability of one occurrence, divided by ten for every letter. total: of all
     counts and one, where counts holds only the words that occur in the names to be cut."""
 
-    def __init__(self, counts: dict[str, int], total: int | None = None):
+    def __init__(self, counts: dict[str, float], total: float | None = None):
         total = total or sum(counts.values()) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(total)
@@ -127,8 +130,22 @@ def raw_tokens(url: str) -> list[str]:
     return _LETTERS.findall(url.lower())
 
 
-#: Counts of the seed examples' words.
-SEED = Counter(t for u in BAD_URLS + GOOD_URLS for t in raw_tokens(u)) + Counter(NEUTRAL)
+def build_model(blocked: dict[str, str] = BLOCKED, allowed: dict[str, str] = ALLOWED) -> NaiveBayes:
+    both = lambda words: [x for w in words.split() for x in (w, w + "s")]
+    return NaiveBayes([both(w) + NEUTRAL for w in allowed.values()], [both(w) + NEUTRAL for w in blocked.values()])
+
+
+def lexicon(path: str) -> dict[str, float]:
+    """Shares of the whole words of a public vocabulary of word pieces, by Zipf's law over their ranks; the model's words
+    that it lacks come last."""
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = [w[:-4] for w, _ in sorted(ids.items(), key=lambda x: x[1]) if w.endswith("</w>") and w.isascii() and w[:-4].isalpha() and len(w) > 6]
+    words += [w for kinds in (BLOCKED, ALLOWED) for x in kinds.values() for w in x.split()]
+    ranks = {w: k + 1 for k, w in reversed(list(enumerate(words)))}
+    all_ = sum(1 / k for k in ranks.values())
+    return {w: 1 / k / all_ for w, k in ranks.items()}
+
 
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -150,11 +167,13 @@ def substring_hashes(name: str, lengths: list[int]):
             yield ((sums[n:] - sums[:-n]) * back[: len(name) - n + 1]).view(np.int64)
 
 
-def path_words(pages: DataFrame) -> DataFrame:
-    """word, n, h: counts over all urls' paths of the tokens between their separators, and the tokens' hashes. Host names are
-    left out: there, words stand together, and such a name counted as a word would never be cut."""
-    path = F.lower(F.regexp_extract("url", "(?s)^.*?://[^/?#]*([^?#]*)", 1))
-    words = F.explode(F.filter(F.split(path, "[^\\p{L}]+"), lambda w: F.length(w) > 0))
+def table_words(pages: DataFrame) -> DataFrame:
+    """word, n, h: counts of the words of all urls' paths and pages' texts (html without scripts, styles, comments, tags and
+    references), and the words' hashes. Host names are left out: there, words stand together, and such a name counted as a
+    word would never be cut."""
+    path = F.regexp_extract("url", "(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    text = F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->|<[^>]*>|&#?\\w+;", " ")
+    words = F.explode(F.filter(F.split(F.lower(F.concat_ws(" ", path, text)), "[^\\p{L}]+"), lambda w: F.length(w) > 0))
     counts = pages.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     @tidy
@@ -166,16 +185,15 @@ def path_words(pages: DataFrame) -> DataFrame:
     return counts.mapInArrow(hashed, "word string, n long, h long")
 
 
-def cut_names(names: DataFrame, words: DataFrame) -> DataFrame:
-    """name, words: every one of the distinct names, cut. words: of path_words; a name meets those that are among its
-    substrings, so no task holds them all."""
+def cut_names(names: DataFrame, words: DataFrame, known_words: dict[str, float]) -> DataFrame:
+    """name, words: every one of the distinct names, cut. words: of table_words; a name meets those that are among its
+    substrings, so no task holds them all. known_words: shares of lexicon(), which weigh as much as the table's counts."""
     found = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.octet_length("word") + 32)).first()
     seen, rows, size = (x or 0 for x in found)
     lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
-    # seed words weigh as seen often enough to be preferred
-    weight = max(1, seen // 1000)
-    seed = {w: n * weight for w, n in SEED.items()}
-    total = seen + sum(seed.values()) + 1
+    weight = float(max(seen, 1_000_000))
+    total = seen + weight + 1
+    longest = max(map(len, known_words), default=0)
     names = materialize(names.withColumn("name_id", F.monotonically_increasing_id()), "names")
 
     @tidy
@@ -205,24 +223,23 @@ def cut_names(names: DataFrame, words: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for name, known, n in zip(*(batch.column(c).to_pylist() for c in ("name", "known", "n")), strict=True):
-                counts = {w: k for w, k in seed.items() if w in name}
+                counts: dict[str, float] = {}
+                for at in range(len(name)):
+                    for to in range(at + 1, min(at + longest, len(name)) + 1):
+                        if (share := known_words.get(name[at:to])) is not None:
+                            counts[name[at:to]] = share * weight
                 for w, k in zip(known or (), n or (), strict=True):
-                    counts[w] = k + seed.get(w, 0)
+                    counts[w] = k + counts.get(w, 0.0)
                 out.append(Segmenter(counts, total).cut(name))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
 
     return names.join(known, "name_id", "left").select("name", "known", "n").mapInArrow(cut, "name string, words array<string>")
 
 
-def build_model(cuts: dict[str, list[str]]) -> NaiveBayes:
-    """cuts: of the seed examples' tokens."""
-    cut = lambda u: [w for t in raw_tokens(u) for w in cuts[t] if len(w) > 1 and w not in NEUTRAL]
-    return NaiveBayes([cut(u) + NEUTRAL for u in GOOD_URLS], [cut(u) + NEUTRAL for u in BAD_URLS])
-
+def judge_urls(pages: DataFrame, vocabulary: str, rules=RULES, threshold: float = 0.0) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (log odds; null where a rule decides or no host is found), words.
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.0) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log odds; null where a rule decides or no host is found), words."""
-    spark = pages.sparkSession
+    vocabulary: file of a public vocabulary of word pieces, see lexicon()."""
 
     @tidy
     def split(batches):
@@ -239,12 +256,11 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.0) -> DataFra
 
     numbered = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url")
     urls = materialize(numbered.mapInArrow(split, "row long, page_id long, host string, path string, rule string, verdict string, names array<string>"), "urls")
-    tokens = urls.select("row", F.posexplode("names").alias("spot", "name"))
-    seeds = spark.createDataFrame([(w,) for w in SEED], "name string")
-    cuts = materialize(cut_names(tokens.select("name").unionByName(seeds).distinct(), materialize(path_words(pages), "words")), "cuts")
-    model = build_model({r.name: r.words for r in cuts.join(F.broadcast(seeds), "name").collect()})
+    tokens = urls.where("rule is null").select("row", F.posexplode("names").alias("spot", "name"))
+    cuts = materialize(cut_names(tokens.select("name").distinct(), materialize(table_words(pages), "words"), lexicon(vocabulary)), "cuts")
+    model = build_model()
     rows, size = cuts.agg(F.count(F.lit(1)), F.sum(2 * F.octet_length("name") + 64)).first()
-    slim = F.broadcast(cuts) if size <= BROADCAST_BYTES and rows <= BROADCAST_ROWS else cuts
+    slim = F.broadcast(cuts) if (size or 0) <= BROADCAST_BYTES and rows <= BROADCAST_ROWS else cuts
     words = tokens.join(slim, "name").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("spot", "words"))).alias("cut"))
     words = words.select("row", F.flatten("cut.words").alias("words"))
 
