@@ -1,11 +1,14 @@
 """Quality rules, native: base counts of every text and cross-document line frequency by host.
 
-Only DataFrame functions run here. The texts stay where they are read; what is shuffled are line hashes, counted with
-map-side combine, so that one hot line or host meets as one row a task.
+Only DataFrame functions run here. One pass over the texts writes a slim row of each: its counts and the hashes of its
+normalised lines. Lines are counted on those rows with map-side combine, so that one hot line or host meets as one row a
+task; the texts are not read again.
+
+Documents of a host are told apart by their text: copies of a document count once, else every line of a document with many
+copies would be frequent, and all its copies, the one to keep included, would go.
 
 Defined results: null text counts as no words; an empty table gives an empty one; a null host is a host of its own; extra
-columns are ignored, whatever their names; lines of identical texts count as
-those of one document; rows that repeat a doc_id share the largest count of removed words among them.
+columns are ignored, whatever their names; rows that repeat a doc_id are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -13,136 +16,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import BROADCAST_ROWS, broadcast_if_small, materialize
 
 _WHITE = " \t\n\x0b\x0c\r"
 _WHITE_RE = "[ \\t-\\r]+"
-#: Low bits of a packed window hold its position; longer texts take the unpacked form.
-_BITS = 21
-_MASK = (1 << _BITS) - 1
 
 
 def _words(text: Column) -> Column:
     return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(_WHITE)), _WHITE_RE)
 
 
-#: Words in 3-word windows that occur twice or more. Windows are hashed, sorted with their positions, and neighbours of
-#: equal hash are compared word by word; each repeated start covers the words up to the next one, three at most.
-_REPEAT_PACKED = f"""
+def _same(x: str, y: str) -> str:
+    """SQL: the windows packed in x and y are one: equal hash bits, then equal words."""
+    words = " AND ".join(f"get(_words, int({x} & _low) + {k}) = get(_words, int({y} & _low) + {k})" for k in range(3))
+    return f"(({x} & ~_low) = ({y} & ~_low) AND {words})"
+
+
+#: Words in 3-word windows that occur twice or more. A window is packed as the upper bits of its hash and its position, as
+#: many bits as the text's number of words takes. Windows are sorted and neighbours compared word by word; where a
+#: neighbour has the hash bits but other words, all windows of these bits are compared, so that the count is exact. Each
+#: repeated start covers the words up to the next one, three at most.
+_REPEATS = f"""
 aggregate(
   transform(
     transform(array(sort_array(transform(
       filter(_w, (x, i) ->
-        ((x & ~{_MASK}L) = (get(_w, i - 1) & ~{_MASK}L)
-          AND get(_words, int(x & {_MASK}L)) = get(_words, int(get(_w, i - 1) & {_MASK}L))
-          AND get(_words, int(x & {_MASK}L) + 1) = get(_words, int(get(_w, i - 1) & {_MASK}L) + 1)
-          AND get(_words, int(x & {_MASK}L) + 2) = get(_words, int(get(_w, i - 1) & {_MASK}L) + 2))
-        OR ((x & ~{_MASK}L) = (get(_w, i + 1) & ~{_MASK}L)
-          AND get(_words, int(x & {_MASK}L)) = get(_words, int(get(_w, i + 1) & {_MASK}L))
-          AND get(_words, int(x & {_MASK}L) + 1) = get(_words, int(get(_w, i + 1) & {_MASK}L) + 1)
-          AND get(_words, int(x & {_MASK}L) + 2) = get(_words, int(get(_w, i + 1) & {_MASK}L) + 2))),
-      x -> int(x & {_MASK}L)))), s -> transform(s, (p, i) -> least(3, coalesce(get(s, i + 1) - p, 3)))),
+        {_same("x", "get(_w, i - 1)")} OR {_same("x", "get(_w, i + 1)")}
+        OR (((x & ~_low) = (get(_w, i - 1) & ~_low) OR (x & ~_low) = (get(_w, i + 1) & ~_low))
+          AND exists(_w, y -> y <> x AND {_same("x", "y")}))),
+      x -> int(x & _low)))), s -> transform(s, (p, i) -> least(3, coalesce(get(s, i + 1) - p, 3)))),
     c -> aggregate(c, 0L, (a, b) -> a + b)),
   0L, (a, b) -> a + b)
 """
-#: The same for texts of more words than a packed position can hold.
-_REPEAT_WIDE = """
-aggregate(
-  transform(array(sort_array(transform(
-    filter(_s, (x, i) -> x.h = get(_s, i - 1).h OR x.h = get(_s, i + 1).h), x -> x.i))),
-    s -> aggregate(transform(s, (p, i) -> least(3, coalesce(get(s, i + 1) - p, 3))), 0L, (a, b) -> a + b)),
-  0L, (a, b) -> a + b)
-"""
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def normal_line(line: Column) -> Column:
+    """A line lower-cased, trimmed, its inner white space single."""
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(_WHITE)), _WHITE_RE, " "))
 
 
-def base_counts(docs: DataFrame, repeat_share: float = 0.5, min_words: int = 50) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed of every row; no shuffle."""
+def counted_texts(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """doc_id, host, content (hash of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), lines
+    (hash and words of every normalised line with a word) of every row; no shuffle. hash_bits: of a window's hash, for tests."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("_t"), _words(F.col("text")).alias("_words"))
+    rows = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text").alias("content"), text.alias("_t"), _words(F.col("text")).alias("_words"))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(_WHITE))) > 0)
     rows = rows.select(
-        "doc_id",
-        "_words",
+        "doc_id", "host", "content", "_words",
         F.when(F.get("_words", F.lit(0)) == "", F.lit(0).cast("long")).otherwise(F.size("_words").cast("long")).alias("n_words"),
         F.length(F.regexp_replace("_t", _WHITE_RE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
-    )
-    hashed = F.expr("transform(slice(_words, 1, greatest(int(n_words) - 2, 0)), (w, i) -> xxhash64(w, get(_words, i + 1), get(_words, i + 2)))")
+    )
+    window = "xxhash64(w, get(_words, i + 1), get(_words, i + 2))"
+    if hash_bits < 64:
+        window = f"shiftleft({window}, {64 - hash_bits})"
+    hashed = F.expr(f"transform(slice(_words, 1, greatest(int(n_words) - 2, 0)), (w, i) -> {window})")
+    marked = F.transform("_lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(_words(x)).alias("n")))
     rows = rows.select(
-        "doc_id", "_words", "n_words", "word_chars", "n_symbols", hashed.alias("_h"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        "doc_id", "host", "content", "_words", "n_words", "word_chars", "n_symbols", hashed.alias("_h"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), marked.alias("lines"),
+        F.expr("shiftleft(1L, length(bin(n_words))) - 1").alias("_low"),
     )
-    short = F.col("n_words") <= _MASK
-    packed = F.when(short, F.expr(f"sort_array(transform(_h, (h, i) -> (h & ~{_MASK}L) | cast(i as bigint)))"))
-    wide = F.when(~short, F.expr("sort_array(transform(_h, (h, i) -> struct(h as h, i as i)))"))
-    rows = rows.withColumns({"_w": packed, "_s": wide})
-    repeated = F.when(short, F.expr(_REPEAT_PACKED)).otherwise(F.expr(_REPEAT_WIDE))
-    rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100.0 > F.col("n_words") * (100.0 * repeat_share))
-    return rows.withColumn("base_failed", failed)
-
-
-def normal_line(line: Column) -> Column:
-    """A line lower-cased, trimmed, its inner white space single."""
-    return F.lower(F.regexp_replace(F.btrim(line, F.lit(_WHITE)), _WHITE_RE, " "))
+    rows = rows.withColumn("_w", F.expr("sort_array(transform(_h, (h, i) -> (h & ~_low) | cast(i as bigint)))"))
+    return rows.select("doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(_REPEATS).alias("n_repeat_words"), "lines")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text hash, hash of each distinct normalised line with a word, and the words it holds in the text."""
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(_WHITE))) > 0)
-    marked = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(_words(x)).alias("n")))
-    return (
-        docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text").alias("content"), F.explode(marked).alias("_l"))
-        .select("doc_id", "host", "content", F.col("_l.line").alias("line"), F.col("_l.n").alias("n"))
-    )
+def base_failed(repeat_share: float = 0.5, min_words: int = 50) -> Column:
+    return (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100.0 > F.col("n_words") * (100.0 * repeat_share))
 
 
-def frequent_lines(docs: DataFrame, line_share: float = 0.1, min_docs: int = 20) -> DataFrame:
-    """host, line: lines that more than line_share of a host's distinct texts, and more than min_docs of them, hold.
+def frequent_lines(counted: DataFrame, line_share: float = 0.1, line_root: float = 20.0, min_docs: int = 20) -> DataFrame:
+    """host, line: lines that more of a host's distinct texts hold than a limit: line_share of them, or line_root times the
+    root of their number where that is less, so that the limit falls behind a growing host; min_docs at least.
 
-    At most (lines a document / line_share) lines a host pass, a bound that does not grow with the host."""
-    rows = line_rows(docs).select("host", "line", "content").distinct()
+    counted: of counted_texts. At most (lines of all texts / limit) lines a host pass."""
+    rows = counted.select("host", "content", F.explode("lines.line").alias("line")).distinct()
     counts = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-    hosts = docs.select(F.col("source").alias("host"), F.xxhash64("text").alias("content")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    limit = F.greatest(F.col("total") * line_share, F.lit(float(min_docs)))
+    hosts = counted.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    limit = F.greatest(F.least(F.col("total") * line_share, line_root * F.sqrt("total")), F.lit(float(min_docs)))
     many = counts.where(F.col("n_docs") > min_docs).alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
     return many.where(F.col("n_docs") > limit).select("c.host", "c.line")
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """doc_id, content, removed_words of the texts that hold frequent lines; a repeated row adds to its document's sum."""
-    rows = line_rows(docs).alias("r")
-    hot = frequent.alias("f")
-    found = rows.join(hot, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")), "left_semi")
-    return found.groupBy("doc_id", "content").agg(F.sum("n").alias("removed_words"))
+def removed_words(counted: DataFrame, frequent: DataFrame) -> DataFrame:
+    """row, removed_words: words in frequent lines of the rows (column row) that hold such lines."""
+    lines = counted.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.n").alias("r")
+    hot = broadcast_if_small(frequent).alias("f")
+    found = lines.join(hot, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")), "left_semi")
+    return found.groupBy("row").agg(F.sum("n").cast("long").alias("removed_words"))
+
+
+def judged_texts(docs: DataFrame, line_share: float = 0.1, line_root: float = 20.0, min_docs: int = 20, max_removed: float = 0.5, repeat_share: float = 0.5, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The slim rows of all docs, with base_failed, kept, removed_words, and the frequent lines; both are written tables."""
+    counted = materialize(counted_texts(docs).withColumn("row", F.monotonically_increasing_id()), "counted")
+    frequent = materialize(frequent_lines(counted, line_share, line_root, min_docs), "frequent")
+    depleted = materialize(removed_words(counted, frequent), "depleted")
+    out = counted.drop("lines").join(broadcast_if_small(depleted, limit=BROADCAST_ROWS), "row", "left")
+    out = out.withColumns({"removed_words": F.coalesce("removed_words", F.lit(0).cast("long")), "base_failed": base_failed(repeat_share, min_words)})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * max_removed)), frequent
 
 
-def quality_rules(
-    docs: DataFrame, line_share: float = 0.1, min_docs: int = 20, max_removed: float = 0.5, repeat_share: float = 0.5, min_words: int = 50, frequent: DataFrame | None = None
-) -> DataFrame:
-    """The counts of base_counts, removed_words, and kept: not base_failed, and at most max_removed of the words in lines
-    that are frequent on the host. frequent: the rows of frequent_lines, where they are at hand."""
-    keyed = docs.select("doc_id", "text", "source")
-    base = base_counts(keyed, repeat_share, min_words)
-    depleted = removed_words(keyed, frequent_lines(keyed, line_share, min_docs) if frequent is None else frequent)
-    depleted = depleted.groupBy("doc_id").agg(F.max("removed_words").alias("removed_words"))
-    out = base.alias("b").join(depleted.alias("d"), F.col("b.doc_id").eqNullSafe(F.col("d.doc_id")), "left")
-    removed = F.coalesce(F.col("d.removed_words"), F.lit(0)).cast("long")
-    kept = ~F.col("base_failed") & (removed <= F.col("n_words") * max_removed)
-    return out.select("b.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), removed.alias("removed_words"))
+def quality_rules(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and removed_words of every row. kept: not base_failed, and at most max_removed
+    of the words in lines that are frequent on the host. how: of judged_texts."""
+    return judged_texts(docs, **how)[0].select("doc_id", *_BASE, "base_failed", "kept", "removed_words")
 
 
-def kept_documents(docs: DataFrame, line_share: float = 0.1, min_docs: int = 20, max_removed: float = 0.5, repeat_share: float = 0.5, min_words: int = 50) -> DataFrame:
+def kept_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the rules keep, all columns; lines frequent on the host are cut from text, n_chars follows.
 
     The frequent lines of a host are few (see frequent_lines) and meet the host's rows as one array."""
-    frequent = materialize(frequent_lines(docs, line_share, min_docs), "frequent")
-    judged = quality_rules(docs, line_share, min_docs, max_removed, repeat_share, min_words, frequent)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    judged, frequent = judged_texts(docs, **how)
+    gone = materialize(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct(), "gone")
+    rows = docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content")), "left_anti")
     arrays = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_hot"))
-    rows = rows.join(arrays, F.col("source").eqNullSafe(F.col("_host")), "left")
+    rows = rows.join(broadcast_if_small(arrays, frequent.count()), F.col("source").eqNullSafe(F.col("_host")), "left")
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda x: ~F.array_contains(F.col("_hot"), F.xxhash64(normal_line(x))))
     cut = rows.withColumn("_left", F.when(F.col("_hot").isNotNull(), left))

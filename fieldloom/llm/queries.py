@@ -52,8 +52,8 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-def op10_url_filter(spark, sf_dir):
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+def op10_url_filter(spark, sf_dir, vocabulary=None):
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), vocabulary or public_tokenizers.path("word_bpe_49k.json")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_bpe, op4_ngram_join, op5_quality_knn, op6_suffix_dedup, op7_nn_descent, op8_page_text, op9_quality_rules, op10_url_filter)}
@@ -78,7 +78,7 @@ l AS (SELECT doc_id, source, text, lower(regexp_replace(trim(x, E' \t\n\x0b\x0c\
              len(list_filter(regexp_split_to_array(x, '[ \t-\r]+'), lambda y: y <> '')) AS k FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM w)),
 f AS (SELECT source, line, count(DISTINCT text) AS c FROM l GROUP BY source, line),
 h AS (SELECT source, count(DISTINCT text) AS c FROM d GROUP BY source),
-hot AS (SELECT f.source, line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.c > 20 AND f.c > 0.1 * h.c),
+hot AS (SELECT f.source, line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.c > greatest(20, least(0.1 * h.c, 20 * sqrt(h.c)))),
 gone AS (SELECT doc_id, sum(k) AS k FROM l WHERE EXISTS (SELECT 1 FROM hot WHERE hot.source IS NOT DISTINCT FROM l.source AND hot.line = l.line) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
