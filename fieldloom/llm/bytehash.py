@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: The white space that separates words: 0x20 and 0x09 to 0x0D.
@@ -11,6 +13,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_FACTOR = 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,9 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]  # A-Z hash as a-z
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * U(_FACTOR))
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -40,21 +41,43 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-class Rolling:
-    """Prefix sums of a polynomial modulo 2**64 over hashed bytes; any substring's hash is one subtraction and product."""
-
-    def __init__(self, raw: np.ndarray, lower: bool = False):
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTES)[raw] * _power("up", len(raw)), out=self.sums[1:])
-        self.down = _power("down", len(raw) + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-    def fixed(self, width: int) -> np.ndarray:
-        """The unmixed hash of every window of width bytes."""
-        n = len(self.sums) - width
-        return (self.sums[width:] - self.sums[:n]) * self.down[:n]
+#: A-Z to a-z, every other byte itself.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_KEY = 0x5851F42D4C957F2D
+_LONG = 512  # bytes of a run beyond which it is hashed on its own
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Keyed 64-bit hashes of the byte runs raw[start:end], with lower as if A-Z were a-z.
+
+    Eight bytes at a time go through a mixing step that is not linear, so that no pattern of bytes collides by its form, as
+    texts can under a polynomial modulo 2**64; two given runs have one hash with a probability of about 2**-64. Long runs
+    take BLAKE2b."""
+    n = end - start
+    padded = np.concatenate([LOWER[raw] if lower else raw, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    h = mix(n.astype(np.uint64) + U(_KEY))
+    live, at = np.flatnonzero((n > 0) & (n <= _LONG)), 0
+    while len(live):
+        rest = n[live] - at
+        lane = lanes[start[live] + at]
+        short = rest < 8
+        lane[short] &= (U(1) << (8 * rest[short]).astype(np.uint64)) - U(1)
+        h[live] = mix((h[live] ^ lane) * U(_FACTOR) + U(at + 1))
+        at += 8
+        live = live[rest > 8]
+    for k in np.flatnonzero(n > _LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(padded[start[k] : end[k]].tobytes(), digest_size=8, key=_KEY.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def window_hashes(raw: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial modulo 2**64 over hashed bytes of every window of width bytes. It chooses places and decides no equality."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * _power("up", len(raw)), out=sums[1:])
+    n = len(sums) - width
+    return (sums[width:] - sums[:n]) * _power("down", len(raw) + 1)[:n]
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +101,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np
 
     A text with fewer words has one shingle, its whole sequence; one without words has none."""
     start, end, text = words(raw, offsets)
-    hashed = Rolling(raw, lower=True).of(start, end)
+    hashed = run_hashes(raw, start, end, lower=True)
     bounds = np.searchsorted(text, np.arange(len(offsets)))
     joined = np.zeros(max(0, len(hashed) - size + 1), np.uint64)
     for k in range(size):

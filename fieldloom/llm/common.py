@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import platform
+import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -21,6 +24,7 @@ CHUNK_BYTES = 1 << 20
 
 _BATCH_ROWS = 4000
 _own_folder: list[str] = []
+_made: list[str] = []
 _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
 
 
@@ -51,12 +55,17 @@ def bounded_batches(spark: SparkSession, rows: int = _BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own if all of
+    Spark runs in this one process (as in tests), else an error: a cluster's machines would each write their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="fieldloom-"))
+        atexit.register(shutil.rmtree, _own_folder[0].removeprefix("file://"), ignore_errors=True)
     return _own_folder[0]
 
 
@@ -69,9 +78,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables materialize() has written and not deleted: a mark for delete_written()."""
+    return len(_made)
+
+
+def delete_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that materialize() has written since a mark, but for the last keep ones. For callers that have
+    written out all results that read them."""
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for path in gone:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], size: str, hot: int = 256) -> DataFrame:
+    """Inner join of rows with a side of one row a key. size: the side's column with the number of rows that meet it, which
+    is dropped. Rows of a key that more than hot rows share join by broadcast, so that no task gets all of them; such keys
+    are counted first, and shuffle only where they are too many for a broadcast."""
+    many = side.where(F.col(size) > hot)
+    crowd = broadcast_if_small(many.select(*keys))
+    few = rows.join(crowd, keys, "left_anti").join(side.where(F.col(size) <= hot).drop(size), keys)
+    return few.unionByName(rows.join(broadcast_if_small(many.drop(size)), keys))
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of slim rows only where their number is known to be at most limit; otherwise the join shuffles."""
     if rows is None:
@@ -115,12 +150,11 @@ def rows_batch(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
 
 
-def groups(batches, keys: list[str], limit_rows: int = 1 << 20):
+def groups(batches, keys: list[str]):
     """Of batches sorted by keys, tables that hold whole groups only: many small groups together, a large one alone.
 
     Rows of the last, maybe unfinished group wait for the next batch."""
     held: list[pa.Table] = []
-    held_rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -132,12 +166,11 @@ def groups(batches, keys: list[str], limit_rows: int = 1 << 20):
         cut = int(np.argmax(same))  # where the last group of this batch begins
         if cut == 0 and (not held or [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys] == last_key):
             held.append(table)
-            held_rows += table.num_rows
             continue
         if cut:
             held.append(table.slice(0, cut))
         if held:
             yield pa.concat_tables(held).combine_chunks()
-        held, held_rows = [table.slice(cut)], table.num_rows - cut
+        held = [table.slice(cut)]
     if held:
         yield pa.concat_tables(held).combine_chunks()

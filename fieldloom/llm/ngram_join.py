@@ -16,7 +16,8 @@ Once components are known, the links of every set are counted by comparing all s
 counts and no pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer
-words than a shingle has its whole sequence as its one shingle; sets are compared through 64-bit hashes; rows that repeat
+words than a shingle has its whole sequence as its one shingle; sets are compared through keyed 64-bit hashes that no
+pattern of words collides under by its form (two given shingles do with a probability of 2**-64); rows that repeat
 a doc_id are one node of the graph that has the links of all its rows, and each row comes back with its own n_shingles;
 rows with a null doc_id come back with a null component_id; an empty table gives an empty one; extra columns are ignored.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bytehash import mix, shingle_sets
-from fieldloom.llm.common import BROADCAST_ROWS, broadcast_if_small, groups, materialize, steps, text_bytes, tidy
+from fieldloom.llm.common import BROADCAST_ROWS, broadcast_if_small, groups, materialize, meet, steps, text_bytes, tidy
 from fieldloom.llm.components import connected_components
 
 U = np.uint64
@@ -431,11 +432,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, with_l
     docs = docs.select("doc_id", "text")
     sigs = materialize(signatures(docs, size, percent, common_shingles(docs, size)), "signatures")
     full = sigs.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
-    named = full.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"])
-    members = materialize(named.select("doc_id", "node", "n").distinct(), "members")
-    copies = named.where("doc_id <> node").select("doc_id", "f1", "f2", "n")
-    nodes = full.join(copies, ["doc_id", "f1", "f2", "n"], "left_anti").select(F.col("doc_id").alias("node"), "n", "prefix", "bits", "mins")
+    keys = ["f1", "f2", "n"]
+    sized = materialize(full.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "classes")
+    classes = sized.drop("rows")
+    members = materialize(meet(full.select("doc_id", *keys), sized, keys, "rows").select("doc_id", "node", "n").distinct(), "members")
+    heads = classes.select(F.col("node").alias("doc_id"), *keys)  # one row a class
+    nodes = full.join(heads, ["doc_id", *keys], "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix", "bits", "mins")
 
     # links between copies of one id's rows and its classes are edges of their own
     own = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(members.where("doc_id = node").select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
@@ -461,10 +463,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, with_l
     known = members.select("doc_id", "n", "node").distinct().join(final, "node", "left")
     known = known.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     # a document whose class is headed by another belongs to that component; its id may be the smallest of it
-    out = sigs.select("doc_id", "f1", "f2", "n").join(known, "doc_id", "left")
+    out = sigs.select("doc_id", *keys).join(known, "doc_id", "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     if not with_links:
         return out.select(*columns)
-    counted = materialize(count_links(docs, classes, final, size, percent), "links")
-    out = out.join(broadcast_if_small(counted), ["f1", "f2", "n"], "left")
-    return out.select(*columns, F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("links"))
+    linked = materialize(count_links(docs, classes, final, size, percent).join(sized.select(*keys, "rows"), keys), "links")
+    counted = meet(sigs.where("doc_id is not null").select("doc_id", *keys), linked, keys, "rows").distinct()
+    out = out.join(counted, ["doc_id", *keys], "left")
+    return out.select(*columns, F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -44,9 +44,11 @@ class Settings:
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """vec_id, vector (array<float>) of the rows that take part."""
-    rows = table.select("vec_id", F.col("embedding").cast("array<float>").alias("vector")).where("vec_id is not null and vector is not null and size(vector) > 0")
-    rows = rows.where("not exists(vector, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(vector, x -> x <> 0)")
+    """vec_id, vector of the rows that take part, array<float> as it stands, other numbers as array<double>."""
+    held = table.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding").cast("array<float>" if held == "array<float>" else "array<double>")
+    rows = table.select("vec_id", vector.alias("vector")).where("vec_id is not null and vector is not null and size(vector) > 0")
+    rows = rows.where("not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(vector, x -> x <> 0)")
     usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     return rows.where(F.size("vector") == (usual[0]["n"] if usual else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
@@ -75,7 +77,15 @@ def initial_pairs(nodes: DataFrame, n: int, dims: int, how: Settings) -> DataFra
     trees = how.trees if bits else 1
     keep = how.start if bits else how.neighbours
     planes = np.random.default_rng(how.seed).standard_normal((trees, max(bits, 1), dims))
-    mean = np.array(nodes.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).orderBy("i").toPandas()["x"]) if n else np.zeros(dims)
+
+    def sums(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([matrix(batch.column("vector")).sum(0)] if batch.num_rows else [], pa.list_(pa.float64()))], names=["total"])
+
+    # a batch's sum is one row; tasks' sums are added before the driver sees them
+    parts = nodes.select("vector").mapInArrow(sums, "total array<double>")
+    total = parts.agg(*(F.sum(F.get("total", F.lit(i))) for i in range(dims))).first() if n else None
+    mean = np.array(total, float) / n if n else np.zeros(dims)
 
     def code(batches):
         for batch in batches:
@@ -84,7 +94,7 @@ def initial_pairs(nodes: DataFrame, n: int, dims: int, how: Settings) -> DataFra
                 c = ((v @ planes[t].T > 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64))) if bits else np.zeros(len(v), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(c), batch.column("node"), batch.column("vector")], names=["tree", "code", "node", "vector"])
 
-    coded = nodes.select("node", "vector").mapInArrow(code, "tree int, code long, node long, vector array<float>")
+    coded = nodes.select("node", "vector").mapInArrow(code, f"tree int, code long, node long, vector {nodes.schema['vector'].dataType.simpleString()}")
     sizes = coded.groupBy("tree", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(4.0 * how.bucket)).cast("int").alias("parts"))
     blocks = coded.join(sizes, ["tree", "code"]).withColumn("key", F.xxhash64("tree", "code", F.pmod(F.xxhash64("node"), F.col("parts")))).select("key", "node", "vector")
     blocks = blocks.repartition("key").sortWithinPartitions("key", "node")
@@ -151,7 +161,7 @@ def build_graph(nodes: DataFrame, how: Settings = Settings()) -> DataFrame:
 def broadcast_vectors(rows: DataFrame) -> DataFrame:
     """Rows of an id and a vector, with the hint of a broadcast if all of them are known to be small."""
     n, length = rows.agg(F.count(F.lit(1)), F.max(F.size(rows.columns[1]))).first()
-    return broadcast_if_small(rows, n * (4 * (length or 0) + 32), BROADCAST_BYTES)
+    return broadcast_if_small(rows, n * (8 * (length or 0) + 32), BROADCAST_BYTES)
 
 
 def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, how: Settings = Settings()) -> DataFrame:

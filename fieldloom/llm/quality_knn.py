@@ -57,7 +57,7 @@ def term_shares(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, : _KINDS * _KINDS] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
     start, end, of = bytehash.words(raw, offsets)
     if len(start):
-        h = bytehash.Rolling(raw, lower=True).of(start, end)
+        h = bytehash.run_hashes(raw, start, end, lower=True)
         total = np.maximum(np.bincount(of, minlength=n), 1)
         again = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
         out[:, _KINDS * _KINDS] = np.sqrt(np.bincount(of[1:][again], minlength=n) / total)

@@ -8,7 +8,8 @@ whole are first reduced to their earliest copy, before the shuffle in every task
 known. What is left of anchors with several distinct segments is sorted: a shard holds the texts of such segments, and the
 suffix array with common prefixes, by external induced sorting, shows the classes of equal strings and the earliest of each.
 A shard takes the segments that meet first near one place of one document, so neighbouring segments merge to one text;
-groups of many copies fall apart by that place.
+groups of many copies fall apart by that place, and an anchor of many different segments has a shard of its own. Segments
+count as equal by anchor and segment hash, 128 bits of two keyed hashes, of which that of the segment is not linear.
 
 Defined results: null text counts as empty; documents shorter than width lose nothing; a null doc_id comes first in the
 order; rows that repeat a doc_id count as one document, their equal starts do not match each other; ties do not occur, as
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.bytehash import Rolling, mix
+from fieldloom.llm.bytehash import mix, run_hashes, window_hashes
 from fieldloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, groups, longs, materialize, steps, text_bytes, tidy
 from fieldloom.llm.external_queue import Scratch
 from fieldloom.llm.induced_sort import suffix_order
@@ -30,6 +31,7 @@ from fieldloom.llm.induced_sort import suffix_order
 U = np.uint64
 _FIRST = -(1 << 63)  # stands for a null doc_id
 _STRETCH = 1024  # bytes of the first document whose segments share a shard
+_CROWD = 256  # distinct segments of an anchor from which on it has a shard of its own
 _BLOCK = 8 << 20  # bytes of text within which a task reduces equal segments
 _SORT = 1 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
 
@@ -39,10 +41,8 @@ def segments(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     none = np.zeros(0, np.int64)
     if len(raw) < width:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    rolling = Rolling(raw)
-    grams = rolling.fixed(gram)
-    mixed = mix(grams.copy())
-    place = np.arange(len(grams), dtype=np.uint64)
+    mixed = mix(window_hashes(raw, gram))
+    place = np.arange(len(mixed), dtype=np.uint64)
     bits = U(32)  # of places; the upper bits of a hash choose, the leftmost of equal ones is least
     least = (mixed >> bits << bits) | place
     span, have = width - gram + 1, 1
@@ -63,7 +63,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     runs = np.diff(np.concatenate([first, [total]]))
     begin, of = start[first], text[first]
     anchor = mixed[(chosen[first] & ((U(1) << bits) - U(1))).astype(np.int64)]
-    return of, begin - offsets[of], runs, anchor, rolling.of(begin, begin + runs + width - 1)
+    return of, begin - offsets[of], runs, anchor, run_hashes(raw, begin, begin + runs + width - 1)
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,10 @@ def resolve(rows: DataFrame, width: int) -> DataFrame:
                 order = send[np.lexsort((start[send], doc[send], group[send]))]
                 lead = np.concatenate([[True], group[order][1:] != group[order][:-1]])
                 leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-                key = mix(doc[leader].view(np.uint64) * U(0x9E3779B97F4A7C15) + (start[leader] // _STRETCH).astype(np.uint64))
+                # an anchor of many segments has a shard of its own; equal strings have one anchor, so any split is whole
+                many = np.bincount(group[order], minlength=int(group[-1]) + 1)[group[order]] > _CROWD
+                place = np.where(many, start[leader] + (1 << 40), start[leader] // _STRETCH)
+                key = mix(mix(doc[leader].view(np.uint64) + U(0x9E3779B97F4A7C15)) ^ place.astype(np.uint64))
                 shard[order] = key.view(np.int64)
             out = np.concatenate([np.flatnonzero(late), send])
             kind = np.concatenate([np.ones(int(late.sum()), np.int32), np.zeros(len(send), np.int32)])
@@ -298,9 +301,11 @@ def repeated_spans(docs: DataFrame, width: int = 100, gram: int = 32) -> DataFra
     return dealt.mapInArrow(merge, "doc long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32, as_text: bool = False) -> DataFrame:
     """All columns of docs with kept (binary: the remaining bytes), n_bytes, n_removed and n_spans of every row.
 
+    as_text: kept is a string, without the bytes of characters that a removed span cut.
+
     The spans are broadcast while they are small; beyond that the texts are joined by a shuffle. Columns of docs with
     these names are replaced."""
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
@@ -333,10 +338,12 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32) -> DataFra
                     n_removed.append(0)
                     n_spans.append(0)
             names = [c for c in batch.schema.names if c != "__spans"]
-            more = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))]
+            if as_text:
+                kept = [x.decode("utf-8", "ignore") for x in kept]
+            more = [pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["kept binary", "n_bytes long", "n_removed long", "n_spans long"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["kept string" if as_text else "kept binary", "n_bytes long", "n_removed long", "n_spans long"])
     return joined.mapInArrow(run, schema)
 
 

@@ -7,7 +7,9 @@ of a bounded number of tokens, dealt by a hash, so that it grows with the number
 few sequences that are not full.
 
 Defined results: a null or empty text is one piece, the end token; an empty table gives an empty one; rows that repeat a
-doc_id, null or not, are documents of their own; ties go to the older sequence; extra columns are ignored.
+doc_id, null or not, are documents of their own; ties go to the older sequence; extra columns are ignored. By default the
+limits on documents and attention cost are as wide as a sequence of tokens allows, so they only weigh in the choice of a
+sequence; narrower ones bind.
 """
 
 from __future__ import annotations
@@ -219,12 +221,14 @@ def best_fit(lengths: np.ndarray, capacities: np.ndarray, weights: np.ndarray, r
     return where, offset
 
 
-def pack_pieces(pieces: DataFrame, capacities: Capacities = Capacities(), weights=(1.0, 0.01, 0.01), rule: str = "norm", group_tokens: int = 16 << 20) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length (at most capacities.tokens).
+def pack_pieces(pieces: DataFrame, capacities: Capacities = Capacities(), weights=(1.0, 0.01, 0.01), rule: str = "norm", group_tokens: int = 16 << 20, most_groups: int = 100_000) -> DataFrame:
+    """Adds sequence_id and offset to rows with row, doc_id, piece and length (at most capacities.tokens); row, a number of
+    its own for every piece, is dropped.
 
-    group_tokens bounds what one task packs; pieces are dealt to groups by a hash of doc_id and piece."""
+    A task packs about group_tokens tokens, or more where that would make over most_groups tasks. Pieces are dealt to groups
+    by a hash of row, so that no doc_id, null or repeated, gathers pieces in one of them."""
     total = pieces.agg(F.sum("length")).first()[0] or 0
-    n = max(1, math.ceil(total / group_tokens))
+    n = min(most_groups, max(1, math.ceil(total / group_tokens)))
     limits, share = capacities.vector(), np.asarray(weights, float)
 
     @tidy
@@ -236,17 +240,18 @@ def pack_pieces(pieces: DataFrame, capacities: Capacities = Capacities(), weight
         if (length > limits[0]).any():
             raise ValueError("a piece is longer than a sequence")
         ids = table.column("doc_id").fill_null(-(1 << 62)).to_numpy()
-        order = np.lexsort((table.column("piece").to_numpy(), ids, -length))
+        order = np.lexsort((table.column("row").to_numpy(), table.column("piece").to_numpy(), ids, -length))
+        table = table.drop_columns(["row"])
         where, offset = best_fit(length[order], limits, share, rule)
         base = TaskContext.get().partitionId() << 32
         yield from table.take(pa.array(order)).append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset)).to_batches(max_chunksize=1 << 16)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return pieces.repartition(n, "doc_id", "piece").mapInArrow(pack, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "row") + ", sequence_id long, offset long"
+    return pieces.repartition(n, F.xxhash64("row")).mapInArrow(pack, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int = 1, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     pieces = token_pieces(docs, tokenizer, capacities.tokens, end_id)
-    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    slim = pieces.select(F.monotonically_increasing_id().alias("row"), "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack_pieces(materialize(slim, "pieces"), capacities, **how)

@@ -99,7 +99,9 @@ def read_record(pieces: Iterator[bytes]) -> tuple[dict[str, str], bytes]:
         raise WarcError(f"not a WARC record: {version[:40]}")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     del held[: end + 4]
-    size = int(fields["content-length"])
+    if not (found := fields.get("content-length", "")).isdecimal():
+        raise WarcError("a record without a Content-Length")
+    size = int(found)
     for piece in pieces:
         held += piece
         if len(held) > size + 4:
@@ -116,8 +118,12 @@ def records(stream) -> Iterator[dict]:
         if _sha1(block) != fields.get("warc-block-digest", _sha1(block)):
             raise WarcError(f"block digest of {fields.get('warc-record-id')}")
         http, _, payload = block.partition(b"\r\n\r\n")
+        if lacking := {"warc-type", "warc-payload-digest"} - set(fields):
+            raise WarcError(f"a record without {', '.join(sorted(lacking))}")
         kind = fields["warc-type"]
         said = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
+        if not said.get(b"content-length", b"").isdigit():
+            raise WarcError("a payload without a Content-Length")
         declared = fields["warc-payload-digest"]
         if kind == "response":
             if _sha1(payload) != declared:

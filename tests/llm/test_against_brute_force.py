@@ -190,6 +190,9 @@ def test_op9(run, table):
 
 
 def test_op10(run, table):
+    from fieldloom.llm.url_filter import BLOCKED
+
+    blocked = {w for x in BLOCKED.values() for w in x.split()}  # hosts of these tables stand apart at hyphens
     out, pages = run("op10_url_filter").set_index("page_id"), table("pages")
     for p, url in zip(pages.page_id, pages.url, strict=True):
         m = re.match(r".*?://([^/?#]*)([^?#]*)", url or "", re.S)
@@ -201,4 +204,5 @@ def test_op10(run, table):
         if fits:
             assert r.verdict == max(fits)[2]
         else:
-            assert r.verdict == ("block" if re.search("casino|bets|pills|adult|spam|ads-", host) else "allow"), url
+            words = {w for name in re.findall("[a-z]+", host) for w in (name, name.removesuffix("s"))}
+            assert r.verdict == ("block" if words & blocked else "allow"), url

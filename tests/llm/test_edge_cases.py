@@ -10,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from fieldloom.llm import components, ngram_join, nn_descent, page_text, quality_knn, quality_rules, streaming_bpe, suffix_dedup, token_pack, url_filter, warc
+from fieldloom.llm import bytehash, components, ngram_join, nn_descent, page_text, quality_knn, quality_rules, streaming_bpe, suffix_dedup, token_pack, url_filter, warc
 from fieldloom.llm.external_queue import Scratch
 from fieldloom.llm.induced_sort import suffix_order
 
 from .test_against_brute_force import base_counts, components as brute_components, repeats, shingles
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, node long, h string"
 
 
@@ -125,6 +126,38 @@ def test_decoder_splits_characters():
     assert text == data.decode("utf-8", "replace")
 
 
+def test_classes_are_those_of_the_tokenizer_over_all_code_points():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    c, t = streaming_bpe.Codec(path), Tokenizer.from_file(path)
+    points = [chr(x) for x in [*range(0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200)]]
+    for k in range(0, len(points), 997):
+        text = "".join(x + "'re " + x + x + "1" + x + "a " for x in points[k : k + 997])
+        assert c.encode(text) == t.encode(text, add_special_tokens=False).ids
+    for text in ("x" * 200_000, "ab1!" * 50_000, ("é" * 70_000 + "12!?") * 2, "\n" * 150_000, " " * 150_001 + "a", chr(0x323B0) * 70_000):
+        assert c.encode(text) == t.encode(text, add_special_tokens=False).ids
+        assert max(len(ids) for ids, _ in c.segments(text)) < 1 << 20
+
+
+def test_words_that_collide_under_a_polynomial_differ():
+    """Thue-Morse words of 1024 letters and their complements have one hash under any polynomial modulo 2**64."""
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for words in ((a, b), (a[:500], b[:500]), ("x" + a, "x" + b)):
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        cut = len(words[0])
+        one, two = bytehash.shingle_sets(raw, np.array([0, cut + 1, len(raw)]))
+        assert one.tolist() != two.tolist()
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    start = np.array([0, 1024, 0, 1024])
+    h = bytehash.run_hashes(data, start, start + np.array([300, 300, 1024, 1024]))
+    assert len(set(h.tolist())) == 4
+    twice = np.frombuffer(b"Word word WORD wOrD longer-word-of-twenty longer-word-of-twenty", np.uint8)
+    start, end, _ = bytehash.words(twice, np.array([0, len(twice)]))
+    assert len(set(bytehash.run_hashes(twice, start, end, lower=True).tolist())) == 2 and len(set(bytehash.run_hashes(twice, start, end).tolist())) == 5
+
+
 def test_ngram_join(spark, odd, none):
     out = ngram_join.jaccard_components(odd).toPandas()
     assert len(out) == len(odd_texts())
@@ -236,6 +269,14 @@ def test_quality_rules(odd, none):
     assert kept.columns == odd.columns
 
 
+def test_repeated_words_are_exact_whatever_the_hash(odd):
+    want = sorted(base_counts(t) for _, t, _ in odd_texts())
+    for bits in (64, 24, 3):  # the long texts have windows with the same 24 bits
+        out = quality_rules.counted_texts(odd.where("text is null or length(text) < 2000" if bits == 3 else "true"), bits).toPandas()
+        got = sorted(tuple(r) for r in out[["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]].itertuples(index=False))
+        assert got == (want if bits > 3 else sorted(base_counts(t) for _, t, _ in odd_texts() if len(t or "") < 2000))
+
+
 def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     r = random.Random(1)
     words = [f"u{k}" for k in range(5000)]
@@ -252,9 +293,17 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert all(line not in kept.loc[d].text for d in range(60)) and all(line in kept.loc[200 + d].text for d in range(5))
 
 
+def test_the_limit_falls_behind_a_growing_host(spark):
+    counted = spark.range(100_000).selectExpr("id doc_id", "'h' host", "id content", "filter(array(struct(1L line, 5 n), struct(2L line, 5 n)), x -> x.line = 1 and id < 7000 or x.line = 2 and id < 6000) lines")
+    assert [r.line for r in quality_rules.frequent_lines(counted).collect()] == [1]  # 20 times the root of 100,000 is 6325
+
+
 def test_quality_rules_run_no_python(odd):
-    plan = quality_rules.quality_rules(odd)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    counted = quality_rules.counted_texts(odd)
+    frequent = quality_rules.frequent_lines(counted)
+    for df in (quality_rules.quality_rules(odd), counted, frequent, quality_rules.removed_words(counted.withColumn("row", F.lit(1)), frequent)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def vectors(spark, rows):
@@ -304,7 +353,72 @@ def test_page_text(spark):
     assert page_text.extract_pages(pages(spark, [])).count() == 0
 
 
-def test_common_lines():
+def test_template_lines_go_from_articles_and_shared_passages_stay(spark):
+    quote = "<p>A passage that two articles quote</p>"
+    page = "<article><div>Share this page</div>{0}<h1>Title {1}</h1><p>own {1} words of article {1}, and well more of them than there are in all of its template lines and its quotation</p>{0}<div>All rights reserved</div></article><p>outside</p>"
+    rows = [(k, f"http://t.com/a/{k}", page.format(quote if k in (2, 3, 4) else "", k)) for k in range(1, 6)]
+    rows += [(10 + k, f"http://copies.com/{k}", page.format("", 0)) for k in range(3)]  # equal pages: none is a template
+    rows += [(20, "http://two.com/1", page.format("", 1)), (21, "http://two.com/2", page.format("", 2))]  # one neighbour only
+    got = {r.page_id: r.text for r in page_text.extract_pages(pages(spark, rows)).collect()}
+    own = "Title {0}\nown {0} words of article {0}, and well more of them than there are in all of its template lines and its quotation"
+    for k in range(1, 6):
+        passage = "A passage that two articles quote"
+        want = own.format(k) if k in (1, 5) else f"{passage}\n{own.format(k)}\n{passage}"
+        edges = (f"Share this page\n{want}\nAll rights reserved") if k in (1, 5) else want
+        assert got[k] == edges, k  # the first and last page of a host have one neighbour
+    for k in (10, 11, 12, 20, 21):
+        assert got[k].startswith("Share this page\nTitle") and got[k].endswith("All rights reserved")
+
+
+def test_differencing_by_brute_force(spark):
+    """Pairs by path, alignment and deletion on pages without marks, against plain Python."""
+    r = random.Random(4)
+    rows = []
+    for host in ("a.org", "b.org", "c.org"):
+        for k in range(14):
+            path = "/" + "".join(r.choice("ab/") for _ in range(r.randrange(1, 9))) + str(k)
+            rows.append((len(rows), f"http://{host}{path}", "".join(f"<div>line {r.randrange(12)}</div>" for _ in range(r.randrange(1, 12)))))
+    rows += [(len(rows) + k, u, h) for k, (_, u, h) in enumerate(rows[:4])]
+
+    def steps(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    lines = {p: [x for x in h.replace("</div>", "").split("<div>") if x] for p, _, h in rows}
+    split = {p: (u.split("/")[2], "/" + u.split("/", 3)[3]) for p, u, _ in rows}
+    got = {x.page_id: x.text for x in page_text.extract_pages(pages(spark, rows)).collect()}
+    for host in ("a.org", "b.org", "c.org"):
+        first = {}
+        for p in lines:
+            if split[p][0] == host:
+                key = tuple(lines[p])
+                first[key] = min(first.get(key, "~"), split[p][1])
+        order = sorted(first.items(), key=lambda x: x[1])
+        assert len({x for _, x in order}) == len(order)
+        for k, (key, path) in enumerate(order):
+            around = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+            near = min(around, key=lambda x: steps(path, x[1]))[0]  # the one before wins ties
+            best = np.zeros((len(key) + 1, len(near) + 1), int)
+            for i, x in enumerate(key):
+                for j, y in enumerate(near):
+                    best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+            for p in lines:
+                if split[p][0] == host and tuple(lines[p]) == key:
+                    left = got[p].split("\n") if got[p] else []
+                    assert len(left) == len(key) - best[-1, -1]
+                    gone = collections.Counter(key) - collections.Counter(left)
+                    assert not gone - collections.Counter(near)
+                    it = iter(key)
+                    assert all(x in it for x in left)
+
+
+@pytest.mark.parametrize("kept", [32 << 20, 64])
+def test_common_lines(kept, monkeypatch):
+    monkeypatch.setattr(page_text, "_KEPT_BYTES", kept)
     r = random.Random(8)
     for _ in range(200):
         a, b = ([r.randrange(5) for _ in range(r.randrange(12))] for _ in range(2))
@@ -345,14 +459,14 @@ def test_warc_reader_refuses_broken_archives():
 
 def test_urls(spark):
     rows = [(1, None, ""), (2, "nothing", ""), (3, "HTTP://WWW.Casino-Win.Example.NET/a?b", ""), (4, "https://x.org", ""), (5, "https://a.example.org/en/12#z", ""), (6, "://é.com/de/", ""), (None, "http://m.freebets.net:80/fr/?q", ""), (8, "http://" + "a" * 3000 + ".net/", "")]
-    out = url_filter.judge_urls(pages(spark, rows)).toPandas()
+    out = url_filter.judge_urls(pages(spark, rows), VOCABULARY).toPandas()
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out[out.page_id.notna()].itertuples()}
     assert got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("www.casino-win.example.net", "/a", None, "block")
     assert got[4] == ("x.org", "", None, "allow") and got[5] == ("a.example.org", "/en/12", "example.org/en/1", "block") and got[6] == ("é.com", "/de/", "com/de/", "block")
     last = out[out.page_id.isna()].iloc[0]
     assert last.verdict == "block" and list(last.words)[:3] == ["m", "free", "bets"]
-    assert url_filter.judge_urls(pages(spark, [])).count() == 0
+    assert url_filter.judge_urls(pages(spark, []), VOCABULARY).count() == 0
 
 
 def plain_cut(name, counts, total):
@@ -368,22 +482,41 @@ def plain_cut(name, counts, total):
     return list(best[-1][1])
 
 
-def test_urls_count_every_path_word(spark):
+def test_names_are_cut_and_judged_as_by_brute_force(spark):
     fill = ["zq" + "".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(20_000)]
     long = "abcdefghijklmnopqrstuvwxyzabcdefghijkl"
-    paths = ["/".join(fill[k : k + 500]) for k in range(0, len(fill), 500)] * 5 + [f"playground/sussex/{long}"] * 4
-    rows = [(k, "http://x.net/" + path, "") for k, path in enumerate(paths)]
-    hosts = ["playground", "sussex", "sussexplayground", long + "casino", "casino" * 50, "qqqq" * 20, fill[7] + "win"]
+    paths = ["/".join(fill[k : k + 500]) for k in range(0, len(fill), 500)] * 5 + [f"sussexground/{long}"] * 4
+    text = "<style>stylish</style><p class='classy'>Quuxling, the&nbsp;quuxling<!-- hidden --> SUSSEXGROUND</p>"
+    rows = [(k, "http://x.net/" + path, text if k < 3 else None) for k, path in enumerate(paths)]
+    hosts = ["playground", "sussexgroundplayground", "onlinecasinobonus", "freepornvideos", "dailynewsreport", "viagrapills", "citylibrary", "thebestpokersite", long + "casino", "casino" * 50, "qqqq" * 20, fill[7] + "win", "quuxlingforum", "stylish"]
     rows += [(1000 + k, f"http://{host}.net/", "") for k, host in enumerate(hosts)]
-    out = {r.page_id: r for r in url_filter.judge_urls(pages(spark, rows)).where("page_id >= 1000").collect()}
-    counts = collections.Counter(w for path in paths for w in path.split("/"))
-    seen = sum(counts.values())
-    for w, n in url_filter.SEED.items():
-        counts[w] += n * max(1, seen // 1000)
-    want = [plain_cut(host, counts, sum(counts.values()) + 1) + ["net"] for host in hosts]
+    out = {r.page_id: r for r in url_filter.judge_urls(pages(spark, rows), VOCABULARY).where("page_id >= 1000").collect()}
+    seen = collections.Counter(w for path in paths for w in path.split("/")) + collections.Counter({"quuxling": 6, "the": 3, "sussexground": 3})
+    known = url_filter.lexicon(VOCABULARY)
+    assert abs(sum(known.values()) - 1) < 1e-9
+    weight = max(1e6, sum(seen.values()))
+    counts = collections.Counter({w: x * weight for w, x in known.items()})
+    for w, n in seen.items():
+        counts[w] += n
+    total = sum(seen.values()) + weight + 1
+    want = [plain_cut(host, counts, total) + ["net"] for host in hosts]
     assert [out[1000 + k].words for k in range(len(hosts))] == want
-    assert want[0] == ["playground", "net"] and want[1] == ["sussex", "net"] and want[3] == [long, "casino", "net"] and want[4] == ["casino"] * 50 + ["net"]
-    assert [out[1000 + k].verdict for k in (0, 1, 4)] == ["allow", "allow", "block"]
+    assert want[1] == ["sussexground", "playground", "net"] and want[2] == ["online", "casino", "bonus", "net"] and want[12] == ["quuxling", "forum", "net"]
+    assert want[8] == [long, "casino", "net"] and want[9] == ["casino"] * 50 + ["net"]
+
+    def bayes(words):
+        """Log odds by the definition: shares of a class's words, one added to every count."""
+        examples = {}
+        for name, kinds in (("bad", url_filter.BLOCKED), ("good", url_filter.ALLOWED)):
+            examples[name] = [w + s for x in kinds.values() for w in x.split() for s in ("", "s")] + url_filter.NEUTRAL * len(kinds)
+        kinds = {w for x in examples.values() for w in x}
+        share = lambda c, w: (examples[c].count(w) + 1) / (len(examples[c]) + len(kinds))
+        return sum(math.log(share("bad", w) / share("good", w)) for w in words if w in kinds)
+
+    for k, words in enumerate(want):
+        r = out[1000 + k]
+        assert abs(r.score - bayes(words)) < 1e-9 and r.verdict == ("block" if bayes(words) > 0 else "allow")
+    assert [out[1000 + k].verdict for k in range(10)] == ["allow", "allow", "block", "block", "allow", "block", "allow", "block", "block", "block"]
 
 
 def test_pipeline_stages(spark, sf_dir):
