@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import ngram_join, quality_knn, quality_rules, suffix_dedup, token_pack
-from fieldloom.llm.common import bounded_batches, materialize
+from fieldloom.llm.common import bounded_batches, delete_written, materialize, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,9 +41,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without bytes that repeat earlier strings of 100 bytes; what is left of a cut character goes too."""
     bounded_batches(spark)
-    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") > 0, F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), F.lit("�"), F.lit(""))).otherwise(F.col("text"))
-    changed = out.withColumn("text", text)
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    changed = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     return changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -66,10 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and reread."""
+    """All stages on documents, each written to the shared folder and reread; what a stage has read and written on the way
+    is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")
+            delete_written(spark, mark, keep=1)
     return docs
