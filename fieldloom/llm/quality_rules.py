@@ -29,21 +29,20 @@ def _words(text: Column) -> Column:
 def _same(x: str, y: str) -> str:
     """SQL: the windows packed in x and y are one: equal hash bits, then equal words."""
     words = " AND ".join(f"get(_words, int({x} & _low) + {k}) = get(_words, int({y} & _low) + {k})" for k in range(3))
-    return f"(({x} & ~_low) = ({y} & ~_low) AND {words})"
+    return f"(({x} & _high) = ({y} & _high) AND {words})"
 
 
 #: Words in 3-word windows that occur twice or more. A window is packed as the upper bits of its hash and its position, as
-#: many bits as the text's number of words takes. Windows are sorted and neighbours compared word by word; where a
-#: neighbour has the hash bits but other words, all windows of these bits are compared, so that the count is exact. Each
-#: repeated start covers the words up to the next one, three at most.
+#: many bits as the text's number of words takes. Of the sorted windows those that share their hash bits with a neighbour
+#: are left.
+_LIKE = "filter(_w, (x, i) -> (x & _high) = (get(_w, i - 1) & _high) OR (x & _high) = (get(_w, i + 1) & _high))"
+#: Neighbours are compared word by word, and where that fails all windows of the same bits, so that the count is exact.
+#: Each repeated start covers the words up to the next one, three at most.
 _REPEATS = f"""
 aggregate(
   transform(
     transform(array(sort_array(transform(
-      filter(_w, (x, i) ->
-        {_same("x", "get(_w, i - 1)")} OR {_same("x", "get(_w, i + 1)")}
-        OR (((x & ~_low) = (get(_w, i - 1) & ~_low) OR (x & ~_low) = (get(_w, i + 1) & ~_low))
-          AND exists(_w, y -> y <> x AND {_same("x", "y")}))),
+      filter(_like, (x, i) -> {_same("x", "get(_like, i - 1)")} OR {_same("x", "get(_like, i + 1)")} OR exists(_like, y -> y <> x AND {_same("x", "y")})),
       x -> int(x & _low)))), s -> transform(s, (p, i) -> least(3, coalesce(get(s, i + 1) - p, 3)))),
     c -> aggregate(c, 0L, (a, b) -> a + b)),
   0L, (a, b) -> a + b)
@@ -79,7 +78,9 @@ def counted_texts(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), marked.alias("lines"),
         F.expr("shiftleft(1L, length(bin(n_words))) - 1").alias("_low"),
     )
-    rows = rows.withColumn("_w", F.expr("sort_array(transform(_h, (h, i) -> (h & ~_low) | cast(i as bigint)))"))
+    rows = rows.withColumn("_high", F.expr("~_low"))
+    rows = rows.withColumn("_w", F.expr("sort_array(transform(_h, (h, i) -> (h & _high) | cast(i as bigint)))"))
+    rows = rows.withColumn("_like", F.expr(_LIKE))
     return rows.select("doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(_REPEATS).alias("n_repeat_words"), "lines")
 
 

@@ -35,8 +35,8 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 _CUT = regex.compile(r"\S(?=\s)")  # a piece ends there for certain
 _SLICE = 1 << 16
 _TOGETHER = 4096  # pieces of a slice without white space that are handed on at once
-#: Pieces a worker remembers, and the longest such piece; a full memory starts anew.
-_REMEMBER, _PIECE = 300_000, 48
+#: Pieces a worker remembers, and the longest such piece. Half of them are the last ones seen, the other half older ones.
+_REMEMBER, _PIECE = 600_000, 48
 #: A character of each class: letter, number, white space, any other.
 _STAND_INS = {"L": "a", "N": "1", "S": "\t", "O": "!"}
 
@@ -203,9 +203,11 @@ class Codec:
         self.vocabulary = Vocabulary(path)
         self.lookahead = self.vocabulary.lookahead()
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")") if self.vocabulary.special else None
         strays = stray_characters(path) if strays is None else strays
         self.stand_ins = {c: x for lo, hi, x in strays for c in range(lo, hi + 1)}
+        self.first_stray = min(self.stand_ins, default=0)
         self.strays = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi, _ in strays) + "]") if strays else None
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -220,16 +222,16 @@ class Codec:
         return b",".join(b"%d" % i for i in ids), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
     def _digest(self, piece: str) -> tuple[bytes, bytes]:
-        made = self._made(self.piece_ids(piece))
+        made = self.older.get(piece) or self._made(self.piece_ids(piece))
         if len(piece) <= _PIECE:
-            if len(self.known) >= _REMEMBER:
-                self.known.clear()
+            if len(self.known) >= _REMEMBER // 2:
+                self.older, self.known = self.known, {}
             self.known[piece] = made
         return made
 
     def _joined(self, pieces: list[str]) -> tuple[bytes, bytes]:
-        get, make = self.known.get, self._digest
-        got = [get(p) or make(p) for p in pieces]
+        known, make = self.known, self._digest
+        got = [known.get(p) or make(p) for p in pieces]
         return b",".join([g[0] for g in got]), b"".join([g[1] for g in got])
 
     def _streamed(self, text: str, lo: int, hi: int) -> Iterator[tuple[bytes, bytes]]:
@@ -262,13 +264,23 @@ class Codec:
             yield self._joined(held)
         yield end
 
+    def _shape(self, part: str) -> str:
+        """part, with stand-ins for characters whose class differs; itself where it has none."""
+        if self.strays is None or part.isascii():
+            return part
+        try:
+            part.encode("latin-1")  # the fast way to tell that all are below the first stray one
+            return part if self.first_stray > 0xFF else part.translate(self.stand_ins)
+        except UnicodeEncodeError:
+            return part.translate(self.stand_ins) if self.strays.search(part) else part
+
     def segments(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """(ids in decimal joined by commas, bytes of the tokens) of successive slices of a text."""
         for part in self.special.split(text) if self.special else [text]:
             if part in self.vocabulary.special:
                 yield b"%d" % self.vocabulary.special[part], part.encode()
                 continue
-            shape = part if self.strays is None or part.isascii() or not self.strays.search(part) else part.translate(self.stand_ins)
+            shape = self._shape(part)
             at = 0
             while at < len(part):
                 end = len(part)

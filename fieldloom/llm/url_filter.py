@@ -167,20 +167,30 @@ def substring_hashes(name: str, lengths: list[int]):
             yield ((sums[n:] - sums[:-n]) * back[: len(name) - n + 1]).view(np.int64)
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """substring_hashes of whole words, none of them empty."""
+    size = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(size) - size
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    terms = letters * _powers(_FACTOR, int(size.max(initial=0)))[place]
+    return np.add.reduceat(terms, first).view(np.int64) if len(words) else np.zeros(0, np.int64)
+
+
 def table_words(pages: DataFrame) -> DataFrame:
     """word, n, h: counts of the words of all urls' paths and pages' texts (html without scripts, styles, comments, tags and
     references), and the words' hashes. Host names are left out: there, words stand together, and such a name counted as a
     word would never be cut."""
     path = F.regexp_extract("url", "(?s)^.*?://[^/?#]*([^?#]*)", 1)
-    text = F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->|<[^>]*>|&#?\\w+;", " ")
+    text = F.regexp_replace("html", "(?s)<(?:!--.*?-->|((?i:script|style))\\b.*?</\\1\\s*>|[^>]*>)|&#?\\w+;", " ")
     words = F.explode(F.filter(F.split(F.lower(F.concat_ws(" ", path, text)), "[^\\p{L}]+"), lambda w: F.length(w) > 0))
     counts = pages.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     @tidy
     def hashed(batches):
         for batch in batches:
-            h = [int(x[0]) for w in batch.column("word").to_pylist() for x in substring_hashes(w, [len(w)])]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(h, pa.int64())], names=["word", "n", "h"])
+            h = word_hashes(batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(h)], names=["word", "n", "h"])
 
     return counts.mapInArrow(hashed, "word string, n long, h long")
 
