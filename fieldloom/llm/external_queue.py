@@ -8,6 +8,8 @@ import tempfile
 
 import numpy as np
 
+_PIECE = 1 << 16  # rows of a merge that are in memory
+
 
 class Scratch:
     """A task's private scratch folder, removed with the task: no other task reads it. Arrays up to in_memory bytes stay in
@@ -35,8 +37,9 @@ class Scratch:
         out[:] = values
         return out
 
-    def drop(self, values: np.ndarray) -> None:
-        if isinstance(values, np.memmap) and values.filename:
+    def drop(self, values: np.ndarray | None) -> None:
+        """Delete the file of a mapped array, also by one of its views; what still maps it can go on."""
+        if isinstance(values, np.memmap) and values.filename and os.path.exists(values.filename):
             os.unlink(values.filename)
 
     def close(self) -> None:
@@ -111,13 +114,30 @@ class BulkQueue:
         self.levels[level].append([keep(keys), keep(positions), keep(prefixes), 0])
         if len(self.levels[level]) >= self.FAN:
             runs, self.levels[level] = self.levels[level], []
-            parts = [np.concatenate([r[c][r[3] :] for r in runs]) for c in range(3)]
+            merged = self._merged(runs)
             for r in runs:
                 for c in range(3):
                     self.scratch.drop(r[c])
+            if len(merged[0]):
+                self._add(level + 1, *merged)
+
+    def _merged(self, runs: list[list]) -> list[np.ndarray]:
+        """The rest of runs, from the oldest on, as one run; large ones go from file to file in pieces."""
+        rows = sum(len(r[0]) - r[3] for r in runs)
+        if rows * runs[0][0].itemsize <= self.scratch.in_memory:
+            parts = [np.concatenate([r[c][r[3] :] for r in runs]) for c in range(3)]
             order = np.argsort(parts[0], kind="stable")
-            if len(order):
-                self._add(level + 1, *(p[order] for p in parts))
+            return [p[order] for p in parts]
+        out = [self.scratch.array(rows, runs[0][c].dtype) for c in range(3)]
+        at = 0
+        while at < rows:
+            *parts, (live, source) = self._front([r for r in runs if r[3] < len(r[0])], _PIECE)
+            n = len(parts[0])
+            for c in range(3):
+                out[c][at : at + n] = parts[c]
+            self._advance(live, source)
+            at += n
+        return out
 
     def _runs(self) -> list[list]:
         out = []
@@ -131,9 +151,9 @@ class BulkQueue:
             out += live
         return out
 
-    def peek(self, limit: int):
-        """About limit rows from the front, as keys, positions, prefixes and a token for pop()."""
-        runs = self._runs()
+    @staticmethod
+    def _front(runs: list[list], limit: int):
+        """About limit rows from the front of runs, as keys, positions, prefixes and (runs, run of each row)."""
         step = max(1, limit // len(runs))
         bound = min((int(r[0][r[3] + step]) for r in runs if len(r[0]) - r[3] > step), default=None)
         if bound is None or any(int(r[0][r[3]]) < bound for r in runs):
@@ -151,9 +171,17 @@ class BulkQueue:
             parts, source = [p[order] for p in parts], source[order]
         return (*parts, (runs, source))
 
+    @staticmethod
+    def _advance(runs: list[list], source: np.ndarray) -> None:
+        for r, k in zip(runs, np.bincount(source, minlength=len(runs)).tolist(), strict=True):
+            r[3] += k
+
+    def peek(self, limit: int):
+        """About limit rows from the front, as keys, positions, prefixes and a token for pop()."""
+        return self._front(self._runs(), limit)
+
     def pop(self, token, n: int) -> None:
         """Remove the first n rows of the last peek."""
         runs, source = token
-        for r, k in zip(runs, np.bincount(source[:n], minlength=len(runs)).tolist(), strict=True):
-            r[3] += k
+        self._advance(runs, source[:n])
         self.rows -= n

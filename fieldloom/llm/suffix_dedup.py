@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.bytehash import mix, run_hashes, window_hashes
 from fieldloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, groups, longs, materialize, steps, text_bytes, tidy
-from fieldloom.llm.external_queue import Scratch
+from fieldloom.llm.external_queue import Log, Scratch
 from fieldloom.llm.induced_sort import suffix_order
 
 U = np.uint64
@@ -33,6 +33,9 @@ _FIRST = -(1 << 63)  # stands for a null doc_id
 _STRETCH = 1024  # bytes of the first document whose segments share a shard
 _CROWD = 256  # distinct segments of an anchor from which on it has a shard of its own
 _BLOCK = 8 << 20  # bytes of text within which a task reduces equal segments
+_MEMORY = 4 << 20  # bytes of a sorter's array beyond which it is a file
+_ROWS = 1 << 16  # suffixes, or pieces, that are taken at once
+_ONE = np.ones(1, np.int16)  # the symbol behind a piece
 _SORT = 1 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
 
 
@@ -169,43 +172,97 @@ def resolve(rows: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, doc long, start long, end long, shard long")
 
 
-def sorted_spans(pieces: list[tuple[int, int, bytes]], width: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start, end of the runs of strings of width bytes in pieces (doc, start, bytes) that have an earlier equal there."""
-    size = [len(b) for _, _, b in pieces]
-    text = scratch.array(sum(size) + len(size) + 1, np.int16)
-    at, firsts = 0, np.zeros(len(pieces), np.int64)
-    for k, (_, _, data) in enumerate(pieces):
-        firsts[k] = at
-        text[at : at + len(data)] = np.frombuffer(data, np.uint8).astype(np.int16) + 2
-        text[at + len(data)] = 1
-        at += len(data) + 1
-    text[at] = 0
-    order, shared = suffix_order(text, 258, width, scratch)
-    alike = shared >= width
-    alike[:-1] |= alike[1:]  # a suffix without a like neighbour is in no class
-    order, shared = order[alike], shared[alike]
-    piece = np.searchsorted(firsts, order, side="right") - 1
-    inside = order - firsts[piece]
-    whole = inside + width <= np.array([*size], np.int64)[piece]
-    same = (shared >= width) & whole
-    same[1:] &= whole[:-1]
-    group = np.cumsum(~same)
-    grouped = np.bincount(group)[group] > 1
-    order, piece, inside, group = order[grouped], piece[grouped], inside[grouped], group[grouped]
-    doc = np.array([d for d, _, _ in pieces], np.int64)[piece]
-    start = np.array([s for _, s, _ in pieces], np.int64)[piece] + inside
-    by = np.lexsort((start, doc, group))
-    group, doc, start = group[by], doc[by], start[by]
-    first = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
-    late = ~first & ((doc != doc[head]) | (start != start[head]))
-    doc, start = doc[late], start[late]
+class Pieces:
+    """Pieces (doc, start, bytes) of texts, one after the other on scratch, as the text of a suffix array."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.size, self.held = scratch, 0, []
+        self.text, self.rows = Log(scratch, np.int16), Log(scratch, np.int64)
+
+    def add(self, doc: int, start: int, data: bytes) -> None:
+        self.held += (doc, start, self.size, len(data))
+        self.text.append(np.frombuffer(data, np.uint8).astype(np.int16) + 2)
+        self.text.append(_ONE)
+        self.size += len(data) + 1
+        if len(self.held) >= 4 * _ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.rows.append(np.array(self.held, np.int64))
+        self.held = []
+
+    def spans(self, width: int):
+        """(doc, start, end) arrays of the runs of strings of width bytes that have an earlier equal in the pieces."""
+        self._flush()
+        self.text.append(_ONE - 1)
+        rows = self.rows.array().reshape(-1, 4)
+        first = rows[:, 2]
+        order, shared = suffix_order(self.text.array(), 258, width, self.scratch)
+        n = len(order)
+
+        def places(lo, hi):
+            """doc and start of the suffixes lo to hi, and whether width bytes lie in their piece."""
+            at = np.asarray(order[lo:hi])
+            row = rows[np.searchsorted(first, at, side="right") - 1]
+            inside = at - row[:, 2]
+            return row[:, 0], row[:, 1] + inside, inside + width <= row[:, 3]
+
+        lo = 0
+        while lo < n:
+            hi = min(lo + _ROWS, n)
+            if hi < n:  # up to the last class that ends here
+                ends = np.flatnonzero(shared[lo + 1 : hi + 1] < width)
+                if not len(ends):
+                    while hi < n and (more := np.flatnonzero(shared[hi : hi + _ROWS] < width)).size == 0:
+                        hi = min(hi + _ROWS, n)
+                    hi += int(more[0]) if hi < n else 0
+                    yield from self._large_class(places, lo, hi, width)
+                    lo = hi
+                    continue
+                hi = lo + 1 + int(ends[-1])
+            alike = shared[lo:hi] >= width
+            alike[0] = False
+            group = np.cumsum(~alike)
+            alike[:-1] |= alike[1:]  # a suffix without a like neighbour is in no class
+            if alike.any():
+                doc, start, whole = (x[alike] for x in places(lo, hi))
+                group, doc, start = group[alike][whole], doc[whole], start[whole]
+                by = np.lexsort((start, doc, group))
+                group, doc, start = group[by], doc[by], start[by]
+                head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
+                head = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))
+                late = (doc != doc[head]) | (start != start[head])
+                yield from _runs_of(doc[late], start[late], width)
+            lo = hi
+
+    @staticmethod
+    def _large_class(places, lo: int, hi: int, width: int):
+        """Of one class of more suffixes than are taken at once: find the earliest, then hand on the others."""
+        least = None
+        for look in (True, False):
+            for at in range(lo, hi, _ROWS):
+                doc, start, whole = places(at, min(at + _ROWS, hi))
+                if not whole[0]:
+                    return  # a class's strings are all whole or none is
+                if look:
+                    k = np.lexsort((start, doc))[0]
+                    here = (int(doc[k]), int(start[k]))
+                    least = here if least is None else min(least, here)
+                else:
+                    late = (doc != least[0]) | (start != least[1])
+                    yield from _runs_of(doc[late], start[late], width)
+
+
+def _runs_of(doc: np.ndarray, start: np.ndarray, width: int):
+    """Spans that strings of width bytes at these starts cover, overlapping ones as one."""
+    if not len(doc):
+        return
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     joins = (doc[1:] == doc[:-1]) & (start[1:] <= start[:-1] + width)
-    first = np.flatnonzero(np.concatenate([[True], ~joins])) if len(doc) else np.zeros(0, np.int64)
-    last = np.concatenate([first[1:] - 1, [len(doc) - 1]]) if len(doc) else first
-    return doc[first], start[first], start[last] + width
+    first = np.flatnonzero(np.concatenate([[True], ~joins]))
+    last = np.concatenate([first[1:] - 1, [len(doc) - 1]])
+    yield doc[first], start[first], start[last] + width
 
 
 def suffix_sorted(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -259,24 +316,25 @@ def suffix_sorted(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     @tidy
     def sort(batches):
-        with Scratch(4 << 20) as scratch:
-            pieces, size = [], 0
-            for part in groups(batches, ["shard"]):
-                shard = part.column("shard").to_numpy()
-                edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
-                for lo, hi in zip(edge, [*edge[1:], len(shard)], strict=True):
-                    rows = list(dict.fromkeys(zip(*(part.slice(lo, hi - lo).column(c).to_pylist() for c in ("doc", "start", "data")), strict=True)))
-                    pieces += rows
-                    size += sum(len(x[2]) for x in rows)
-                    if size > _SORT:
-                        yield spans_of(pieces, scratch)
+        with Scratch(_MEMORY) as scratch:
+            pieces, now, at, seen = Pieces(scratch), None, None, set()
+            for batch in batches:
+                for shard, doc, start, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc", "start", "data")), strict=True):
+                    if shard != now and pieces.size > _SORT:
+                        yield from spans_of(pieces)
                         scratch.close()
-                        pieces, size = [], 0
-            if pieces:
-                yield spans_of(pieces, scratch)
-
-    def spans_of(pieces, scratch):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in sorted_spans(pieces, width, scratch)], names=["doc", "start", "end"])
+                        pieces = Pieces(scratch)
+                    if (shard, doc, start) != at:
+                        now, at, seen = shard, (shard, doc, start), set()
+                    if data not in seen:  # rows that repeat a doc_id
+                        seen.add(data)
+                        pieces.add(doc, start, data)
+            if pieces.size:
+                yield from spans_of(pieces)
+
+    def spans_of(pieces):
+        for found in pieces.spans(width):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "start", "end"])
 
     return shards.mapInArrow(sort, "doc long, start long, end long")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from fieldloom.llm import bytehash, components, ngram_join, nn_descent, page_text, quality_knn, quality_rules, streaming_bpe, suffix_dedup, token_pack, url_filter, warc
+from fieldloom.llm import bytehash, components, external_queue, induced_sort, ngram_join, nn_descent, page_text, quality_knn, quality_rules, streaming_bpe, suffix_dedup, token_pack, url_filter, warc
 from fieldloom.llm.external_queue import Scratch
 from fieldloom.llm.induced_sort import suffix_order
 
@@ -234,8 +234,40 @@ def test_suffix_dedup_on_many_shared_passages(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.itertuples()} == repeats([(d, t) for d, t, _ in rows])
 
 
+def test_a_shard_beyond_the_memory_limit(monkeypatch):
+    """Text, recursion and results of 0.4 million bytes in pieces and queues that hold far less, against all strings."""
+    import tracemalloc
+
+    monkeypatch.setattr(suffix_dedup, "_ROWS", 1 << 12)
+    monkeypatch.setattr(induced_sort, "_PIECE", 1 << 12)
+    monkeypatch.setattr(induced_sort, "_MOST", 1 << 12)
+    monkeypatch.setattr(induced_sort, "_BASE", 1 << 12)
+    monkeypatch.setattr(external_queue, "_PIECE", 1 << 12)
+    r = np.random.default_rng(2)
+    texts = [r.integers(97, 123, 1000, np.uint8).tobytes() for _ in range(200)]
+    texts += [b"ab" * 500, b"a" * 2000] + [texts[k % 150][: 300 + k % 500] + b"%d" % k + texts[(7 * k) % 150][200:] for k in range(200)]
+    with Scratch(1 << 15) as scratch:
+        pieces = suffix_dedup.Pieces(scratch)
+        for doc, data in enumerate(texts):
+            pieces.add(doc, 0, data)
+        tracemalloc.start()
+        found = list(pieces.spans(100))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert scratch.made > 100 and pieces.size > 400_000
+        assert most < 8 * pieces.size  # less than the suffix array alone
+    removed = collections.defaultdict(set)
+    for doc, start, end in (x for f in found for x in zip(*(a.tolist() for a in f), strict=True)):
+        removed[doc].update(range(start, end))
+    want = repeats([(d, t.decode()) for d, t in enumerate(texts)])
+    assert {d: len(removed[d]) for d in want} == {d: w[1] for d, w in want.items()}
+
+
 @pytest.mark.parametrize("memory", [64, 1 << 20])
-def test_suffix_order(memory):
+@pytest.mark.parametrize("piece", [7, 1 << 16])
+def test_suffix_order(memory, piece, monkeypatch):
+    monkeypatch.setattr(induced_sort, "_PIECE", piece)
+    monkeypatch.setattr(external_queue, "_PIECE", max(piece, 16))
     r = random.Random(3)
     for _ in range(60):
         k, n, cap = r.choice([2, 3, 30]), r.randrange(1, 150), r.choice([5, 100])
