@@ -10,15 +10,28 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def quantile(data: Column, q: float) -> Column:
-    """Quantile of an array by linear interpolation between order statistics."""
-    s = F.array_sort(data)
-    at = (F.size(data) - 1).cast("double") * F.lit(float(q))
+def bind(value: Column, use) -> Column:
+    """use(value), the value computed once a row. Inside the function of an array's element a plain column expression is
+    computed for every element anew; a variable bound here is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _between(ordered: Column, q: float) -> Column:
+    at = (F.size(ordered) - 1).cast("double") * F.lit(float(q))
     low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(data) - 1))
+    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
     return a + (b - a) * (at - low)
 
 
+def quantiles(data: Column, *qs: float) -> Column:
+    """Array of quantiles by linear interpolation between order statistics; one sort."""
+    return bind(F.sort_array(data), lambda s: F.array(*(_between(s, q) for q in qs)))
+
+
+def quantile(data: Column, q: float) -> Column:
+    return F.get(quantiles(data, q), F.lit(0))
+
+
 def total(data: Column) -> Column:
     return F.aggregate(data, F.lit(0.0), lambda a, x: a + x)
 
@@ -29,14 +42,19 @@ def mean(data: Column) -> Column:
 
 def variance(data: Column) -> Column:
     """Population variance."""
-    m = mean(data)
-    return F.try_divide(F.aggregate(data, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(data).cast("double"))
+    squares = bind(mean(data), lambda m: F.aggregate(data, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+    return F.try_divide(squares, F.size(data).cast("double"))
+
+
+def rescale(data: Column, limits: Column, smallest: float = 1e-8, clipped: bool = False) -> Column:
+    """(v - low) / (high - low) for limits = array(low, high); zeros where the range is below smallest."""
+    scale = (lambda v: clip(v)) if clipped else (lambda v: v)
 
+    def by(r):
+        low, span = F.get(r, F.lit(0)), F.get(r, F.lit(1)) - F.get(r, F.lit(0))
+        return F.when(span < smallest, F.transform(data, lambda v: F.lit(0.0))).otherwise(F.transform(data, lambda v: scale(F.try_divide(v - low, span))))
 
-def rescale(data: Column, low: Column, high: Column, smallest: float = 1e-8) -> Column:
-    """(v - low) / (high - low); zeros where the range is below smallest."""
-    span = high - low
-    return F.when(span < smallest, F.transform(data, lambda v: F.lit(0.0))).otherwise(F.transform(data, lambda v: F.try_divide(v - low, span)))
+    return bind(limits, by)
 
 
 def guarded(numerator: Column, denominator: Column, otherwise: float = 0.0) -> Column:

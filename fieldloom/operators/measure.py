@@ -20,43 +20,53 @@ def label_fields(fields: DataFrame, above: float) -> DataFrame:
     return K.map_fields(fields, lambda a: K.label(a > above), "labels", "array<int>")
 
 
-def relabel(labels: Column) -> Column:
-    """Ids 1..N in order of the old ids, 0 stays."""
-    ids = F.array_sort(F.array_distinct(F.filter(labels, lambda v: v != 0)))
-    return F.transform(labels, lambda v: F.array_position(ids, v).cast("int"))
+def changed_labels(fields: DataFrame, fn, column: str = "labels") -> DataFrame:
+    """fields with labels changed by a kernel; no shuffle."""
+    made = K.map_fields(fields, fn, "_labels", "array<int>", (column,))
+    return made.withColumn(column, F.col("_labels")).drop("_labels")
 
 
-def drop_small(labels: Column, least: int) -> Column:
-    """Objects below least pixels go, the others keep their ids."""
-    return F.transform(labels, lambda v: F.when(F.size(F.filter(labels, lambda u: u == v)) >= least, v).otherwise(F.lit(0)))
+def relabel(fields: DataFrame) -> DataFrame:
+    return changed_labels(fields, K.relabel)
 
 
-def drop_border(labels: Column, height: Column, width: Column) -> Column:
-    edge = F.filter(labels, lambda v, p: (p < width) | (p >= width * (height - 1)) | (p % width == 0) | (p % width == width - 1))
-    return relabel(F.transform(labels, lambda v: F.when(F.array_contains(edge, v), F.lit(0)).otherwise(v)))
+def drop_small(fields: DataFrame, least: int) -> DataFrame:
+    return changed_labels(fields, lambda a: K.drop_small(a, least))
+
+
+def drop_border(fields: DataFrame) -> DataFrame:
+    return changed_labels(fields, K.drop_border)
 
 
 def label_pixels(fields: DataFrame) -> DataFrame:
-    """image_id, label, y, x, v of foreground pixels."""
-    return pixels(fields, "labels", "data").select("image_id", F.col("labels").alias("label"), "y", "x", F.col("data").alias("v")).where("label > 0")
+    """image_id, label, y, x, v of foreground pixels, with their field's height and width."""
+    rows = fields.select("image_id", "height", "width", F.posexplode(F.arrays_zip("labels", "data")).alias("p", "z")).where("z.labels > 0")
+    y, x = F.floor(F.col("p") / F.col("width")).cast("int"), (F.col("p") % F.col("width")).cast("int")
+    return rows.select("image_id", F.col("z.labels").alias("label"), y.alias("y"), x.alias("x"), F.col("z.data").alias("v"), "height", "width")
 
 
-def geometry(px: DataFrame, height: int, width: int) -> DataFrame:
-    """Area, centroid, box, moments' ellipse and border contact of every object: one aggregate."""
+def geometry(px: DataFrame) -> DataFrame:
+    """Area, centroid, box, moments' ellipse, orientation and border contact of every object: one aggregate. px of
+    label_pixels, with the height and width of its own field."""
     g = px.groupBy("image_id", "label").agg(
         F.count(F.lit(1)).alias("area_px"), F.avg("y").alias("centroid_y"), F.avg("x").alias("centroid_x"),
         F.min("y").alias("bbox_min_row"), F.min("x").alias("bbox_min_col"), (F.max("y") + 1).alias("bbox_max_row"), (F.max("x") + 1).alias("bbox_max_col"),
-        F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("vyx"),
+        F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("vyx"), F.max("height").alias("height"), F.max("width").alias("width"),
+        *(F.sum(F.col(a).cast("long") * (F.col(b) if b else 1)).alias(f"s{a}{b}") for a, b in (("y", ""), ("x", ""), ("y", "y"), ("x", "x"), ("y", "x"))),
     )
     box = (F.col("bbox_max_row") - F.col("bbox_min_row")) * (F.col("bbox_max_col") - F.col("bbox_min_col"))
     half, root = (F.col("vy") + F.col("vx")) / 2, F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, F.lit(2.0)) + F.col("vyx") * F.col("vyx"))
-    g = g.withColumns({"l1": half + root, "l2": F.greatest(half - root, F.lit(0.0))})
+    # in whole numbers, so that equal spreads are told from nearly equal ones
+    n = F.col("area_px")
+    slope, both = n * F.col("syy") - F.col("sy") * F.col("sy") - n * F.col("sxx") + F.col("sx") * F.col("sx"), n * F.col("syx") - F.col("sy") * F.col("sx")
+    g = g.withColumns({"l1": half + root, "l2": F.greatest(half - root, F.lit(0.0)), "slope": slope, "both": both})
+    g = g.withColumns({"major_axis_px": 4 * F.sqrt("l1"), "minor_axis_px": 4 * F.sqrt("l2"), "orientation": F.when((F.col("slope") == 0) & (F.col("both") <= 0), F.lit(-math.pi / 4)).otherwise(F.atan2((2 * F.col("both")).cast("double"), F.col("slope").cast("double")) / 2)})
     return g.select(
         "image_id", "label", F.col("area_px").cast("double").alias("area_px"), "centroid_y", "centroid_x", "bbox_min_row", "bbox_min_col", "bbox_max_row", "bbox_max_col",
-        (F.col("area_px") / box).alias("extent"), F.sqrt(F.col("area_px") * (4 / math.pi)).alias("equivalent_diameter_px"),
-        (4 * F.sqrt("l1")).alias("major_axis_px"), (4 * F.sqrt("l2")).alias("minor_axis_px"),
+        (F.col("area_px") / box).alias("extent"), F.sqrt(F.col("area_px") * (4 / math.pi)).alias("equivalent_diameter_px"), "major_axis_px", "minor_axis_px",
         F.when(F.col("l1") <= 0, F.lit(0.0)).otherwise(F.sqrt(F.greatest(1 - F.try_divide(F.col("l2"), F.col("l1")), F.lit(0.0)))).alias("eccentricity"),
-        ((F.col("bbox_min_row") == 0) | (F.col("bbox_min_col") == 0) | (F.col("bbox_max_row") == height) | (F.col("bbox_max_col") == width)).alias("touches_border"),
+        "orientation", F.degrees("orientation").alias("orientation_deg"), F.when(F.col("minor_axis_px") > 0, F.col("major_axis_px") / F.greatest("minor_axis_px", F.lit(1e-8))).otherwise(F.lit(0.0)).alias("aspect_ratio"),
+        ((F.col("bbox_min_row") == 0) | (F.col("bbox_min_col") == 0) | (F.col("bbox_max_row") == F.col("height")) | (F.col("bbox_max_col") == F.col("width"))).alias("touches_border"),
     )
 
 
@@ -125,20 +135,53 @@ def glcm(px: DataFrame, levels: int = 32) -> DataFrame:
     return out.select("image_id", "label", *(F.when(some, F.col(f"_{c}")).otherwise(F.lit(0.0)).alias(f"glcm_{c}") for c in features))
 
 
+def by_object(fields: DataFrame, fn, out: str, kind: str = "array<int>") -> DataFrame:
+    """image_id, label, out: of a kernel that gives one number for each of the objects 1..max; no shuffle."""
+    found = K.map_fields(fields.select("image_id", "height", "width", "labels"), fn, "_made", kind, ("labels",))
+    rows = found.select("image_id", F.posexplode("_made").alias("p", "n")).where("n > 0")
+    return rows.select("image_id", (F.col("p") + 1).alias("label"), F.col("n").cast("double").alias(out))
+
+
 def hulls(fields: DataFrame) -> DataFrame:
-    """image_id, label, convex_area_px of every object of labelled fields; no shuffle."""
-    found = K.map_fields(fields.select("image_id", "height", "width", "labels"), K.convex_areas, "_convex", "array<int>", ("labels",))
-    rows = found.select("image_id", F.posexplode("_convex").alias("p", "n")).where("n > 0")
-    return rows.select("image_id", (F.col("p") + 1).alias("label"), F.col("n").cast("double").alias("convex_area_px"))
+    return by_object(fields, K.convex_areas, "convex_area_px")
+
+
+def filled(fields: DataFrame) -> DataFrame:
+    return by_object(fields, K.filled_areas, "filled_area_px")
+
+
+def border_perimeter(fields: DataFrame) -> DataFrame:
+    return by_object(fields, K.border_perimeters, "perimeter_px", "array<double>")
 
 
 def circularity(area: Column, perimeter: Column) -> Column:
     return F.when(perimeter <= 0, F.lit(0.0)).otherwise(A.clip(4 * math.pi * area / (perimeter * perimeter)))
 
 
-def feature_table(fields: DataFrame, height: int = 8, width: int = 8) -> DataFrame:
-    """Geometry, perimeter, convex hull, intensity and texture of every object, joined on the object."""
-    px = label_pixels(fields)
+def morphology(fields: DataFrame, pixel_size_um: float | None = None) -> DataFrame:
+    """All shape columns of every object; lengths and areas in micrometres too where the pixel size is known."""
+    keys = ["image_id", "label"]
+    out = geometry(label_pixels(fields)).join(perimeter_euler(fields), keys).join(hulls(fields), keys).join(filled(fields), keys).join(border_perimeter(fields), keys, "left")
+    out = out.withColumns({
+        "solidity": F.col("area_px") / F.col("convex_area_px"), "circularity": circularity(F.col("area_px"), F.col("perimeter_crofton_px")),
+        "hole_area_px": F.col("filled_area_px") - F.col("area_px"), "perimeter_px": F.coalesce("perimeter_px", F.lit(0.0)),
+    })
+    if not pixel_size_um:
+        return out
+    s = float(pixel_size_um)
+    lengths = {"perimeter_um": "perimeter_crofton_px", "equivalent_diameter_um": "equivalent_diameter_px", "major_axis_um": "major_axis_px", "minor_axis_um": "minor_axis_px"}
+    return out.withColumns({"area_um2": F.col("area_px") * s * s} | {k: F.col(c) * s for k, c in lengths.items()})
+
+
+def feature_table(fields: DataFrame, channels: tuple[str, ...] = ("data",), pixel_size_um: float | None = None, texture: bool = True, exclude_border: bool = False) -> DataFrame:
+    """Shape of every object, and intensity and texture in every channel (array columns of fields; with several, their
+    names lead the columns'), joined on the object."""
     keys = ["image_id", "label"]
-    out = geometry(px, height, width).join(perimeter_euler(fields), keys).join(intensity(px), keys, "left").join(glcm(px), keys, "left").join(hulls(fields), keys)
-    return out.withColumn("solidity", F.col("area_px") / F.col("convex_area_px")).withColumn("circularity", circularity(F.col("area_px"), F.col("perimeter_crofton_px")))
+    out = morphology(fields.withColumn("data", F.col(channels[0])), pixel_size_um)
+    for c in channels:
+        px = label_pixels(fields.withColumn("data", F.col(c)))
+        parts = [intensity(px), *([glcm(px)] if texture else [])]
+        for part in parts:
+            names = {k: f"{c}_{k}" for k in part.columns if k not in keys} if len(channels) > 1 else {}
+            out = out.join(part.withColumnsRenamed(names), keys, "left")
+    return out.where(~F.col("touches_border")) if exclude_border else out

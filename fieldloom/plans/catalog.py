@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import arrays as A
+from fieldloom.operators import augment as G
 from fieldloom.operators import evaluate as E
 from fieldloom.operators import kernels as K
 from fieldloom.operators import measure as M
 from fieldloom.operators import preprocess as P
 from fieldloom.operators import quality as Q
+from fieldloom.operators import segment as S
+from fieldloom.operators import unet as U
 from fieldloom.sources.fields import pixels, read_fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,12 +149,12 @@ def threshold_fixed(spark, sf_dir):
     return pixels(read_fields(spark, sf_dir)).where(F.col("data") > ABOVE).select("image_id", "y", "x", F.round("data", 6).alias("v"))
 
 
-_HIST = PX + ", r AS (SELECT image_id, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image_id)), h AS (SELECT image_id, any_value(lo) AS lo, any_value(hi) AS hi, least(floor((v - lo) / (hi - lo) * 256), 255)::INT AS b, count(*)::DOUBLE AS n FROM r GROUP BY image_id, b)"
+_HIST = PX + ", r AS (SELECT image_id, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image_id)), h AS (SELECT image_id, any_value(lo) AS lo, any_value(hi) AS hi, least(floor((v - lo) / (hi - lo) * 256), 255)::INT AS b, count(*)::DOUBLE AS n FROM r WHERE hi - lo >= 1e-6 GROUP BY image_id, b)"
 
 
 def _histogram(spark, sf_dir, bins=256):
-    """image_id, lo, hi, b, n of the occupied bins."""
-    f = read_fields(spark, sf_dir).select("image_id", F.array_min("data").alias("lo"), F.array_max("data").alias("hi"), F.explode("data").alias("v"))
+    """image_id, lo, hi, b, n of the occupied bins; a flat field has none."""
+    f = read_fields(spark, sf_dir).select("image_id", F.array_min("data").alias("lo"), F.array_max("data").alias("hi"), F.explode("data").alias("v")).where("hi - lo >= 1e-6")
     return f.groupBy("image_id", "lo", "hi", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
@@ -178,19 +181,19 @@ def connected_components(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {LAB}, k AS (SELECT *, count(*) OVER (PARTITION BY image_id, label) AS n FROM lab) SELECT image_id, y::INT AS y, x::INT AS x, label::INT AS v FROM k WHERE n >= 3")
 def drop_small_labels(spark, sf_dir):
-    f = _objects(spark, sf_dir).withColumn("labels", M.drop_small(F.col("labels"), 3))
+    f = M.drop_small(_objects(spark, sf_dir), 3)
     return pixels(f, "labels").where("labels > 0").select("image_id", "y", "x", F.col("labels").alias("v"))
 
 
 @query(f"WITH RECURSIVE {LAB}, k AS (SELECT *, count(*) OVER (PARTITION BY image_id, label) AS n FROM lab) SELECT image_id, y::INT AS y, x::INT AS x, dense_rank() OVER (PARTITION BY image_id ORDER BY label)::INT AS v FROM k WHERE n >= 3")
 def relabel_sequential(spark, sf_dir):
-    f = _objects(spark, sf_dir).withColumn("labels", M.relabel(M.drop_small(F.col("labels"), 3)))
+    f = M.relabel(M.drop_small(_objects(spark, sf_dir), 3))
     return pixels(f, "labels").where("labels > 0").select("image_id", "y", "x", F.col("labels").alias("v"))
 
 
 @query(f"WITH RECURSIVE {LAB}, e AS (SELECT DISTINCT image_id, label FROM lab WHERE y IN (0, 7) OR x IN (0, 7)) SELECT image_id, y::INT AS y, x::INT AS x, dense_rank() OVER (PARTITION BY image_id ORDER BY label)::INT AS v FROM lab ANTI JOIN e USING (image_id, label)")
 def remove_border_objects(spark, sf_dir):
-    f = _objects(spark, sf_dir).withColumn("labels", M.drop_border(F.col("labels"), F.col("height"), F.col("width")))
+    f = M.drop_border(_objects(spark, sf_dir))
     return pixels(f, "labels").where("labels > 0").select("image_id", "y", "x", F.col("labels").alias("v"))
 
 
@@ -252,34 +255,69 @@ def dihedral(spark, sf_dir):
     return px.select("image_id", (7 - F.col("x")).alias("y"), F.col("y").alias("x"), "v")
 
 
-@query(f"WITH {PX} SELECT a.image_id, a.y::INT AS y, a.x::INT AS x, round((a.v + b.v + c.v + d.v) / 4, 6) AS v FROM px a JOIN px b ON b.image_id = a.image_id AND b.y = a.y AND b.x = 7 - a.x JOIN px c ON c.image_id = a.image_id AND c.y = 7 - a.y AND c.x = a.x JOIN px d ON d.image_id = a.image_id AND d.y = 7 - a.y AND d.x = 7 - a.x")
+_VIEWS = "(a.y, a.x), (a.y, 7 - a.x), (7 - a.y, a.x), (7 - a.y, 7 - a.x), (a.x, a.y), (a.x, 7 - a.y), (7 - a.x, a.y), (7 - a.x, 7 - a.y)"
+
+
+@query(f"WITH {PX}, w AS (SELECT a.image_id, a.y, a.x, unnest([{', '.join(f'({p})' for p in [x.replace(', ', ') * 8 + (', 1) for x in _VIEWS[1:-1].split('), (')])}]) AS q FROM px a) SELECT w.image_id, w.y::INT AS y, w.x::INT AS x, round(sum(b.v) / 8, 6) AS v FROM w JOIN px b ON b.image_id = w.image_id AND b.p = w.q GROUP BY ALL")
 def tta_average(spark, sf_dir):
+    """The mean of the eight turned and mirrored views, each turned back."""
+
     def turned(p):
         y, x = F.floor(p / 8), p % 8
-        return [F.get("data", (a * 8 + b).cast("int")) for a, b in ((y, x), (y, 7 - x), (7 - y, x), (7 - y, 7 - x))]
+        views = [(y, x), (y, 7 - x), (7 - y, x), (7 - y, 7 - x)]
+        return [F.get("data", (a * 8 + b).cast("int")) for a, b in views + [(b, a) for a, b in views]]
 
-    return _px(read_fields(spark, sf_dir).withColumn("data", F.transform("data", lambda v, p: sum(turned(p)[1:], turned(p)[0]) / 4)))
+    return _px(read_fields(spark, sf_dir).withColumn("data", F.transform("data", lambda v, p: sum(turned(p)[1:], turned(p)[0]) / 8)))
 
 
-_GEO = ", g AS (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS vyx FROM lab GROUP BY image_id, label), e AS (SELECT *, (vy + vx) / 2 + sqrt(pow((vy - vx) / 2, 2) + vyx * vyx) AS l1, greatest((vy + vx) / 2 - sqrt(pow((vy - vx) / 2, 2) + vyx * vyx), 0) AS l2 FROM g)"
+_GEO = ", g AS (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS vyx, count(*) * sum(y * y) - sum(y) * sum(y) - count(*) * sum(x * x) + sum(x) * sum(x) AS slope, count(*) * sum(y * x) - sum(y) * sum(x) AS both FROM lab GROUP BY image_id, label), e AS (SELECT *, (vy + vx) / 2 + sqrt(pow((vy - vx) / 2, 2) + vyx * vyx) AS l1, greatest((vy + vx) / 2 - sqrt(pow((vy - vx) / 2, 2) + vyx * vyx), 0) AS l2 FROM g)"
 
 
 @query(f"WITH RECURSIVE {LAB}{_GEO} SELECT image_id, label::INT AS label, area::DOUBLE AS area_px, round(cy, 6) AS centroid_y, round(cx, 6) AS centroid_x, y0::INT AS bbox_min_row, x0::INT AS bbox_min_col, y1::INT AS bbox_max_row, x1::INT AS bbox_max_col, round(area / ((y1 - y0) * (x1 - x0)), 6) AS extent, round(sqrt(4 * area / pi()), 6) AS equivalent_diameter_px FROM e")
 def object_geometry(spark, sf_dir):
-    g = M.geometry(M.label_pixels(_objects(spark, sf_dir)), 8, 8)
+    g = M.geometry(M.label_pixels(_objects(spark, sf_dir)))
     r = lambda c: F.round(c, 6).alias(c)
     return g.select("image_id", "label", "area_px", r("centroid_y"), r("centroid_x"), "bbox_min_row", "bbox_min_col", "bbox_max_row", "bbox_max_col", r("extent"), r("equivalent_diameter_px"))
 
 
 @query(f"WITH RECURSIVE {LAB}{_GEO} SELECT image_id, label::INT AS label, round(4 * sqrt(l1), 4) AS major_axis_px, round(4 * sqrt(l2), 4) AS minor_axis_px, round(CASE WHEN l1 <= 0 THEN 0 ELSE sqrt(greatest(1 - l2 / l1, 0)) END, 4) AS eccentricity FROM e")
 def object_moments(spark, sf_dir):
-    g = M.geometry(M.label_pixels(_objects(spark, sf_dir)), 8, 8)
+    g = M.geometry(M.label_pixels(_objects(spark, sf_dir)))
     return g.select("image_id", "label", *(F.round(c, 4).alias(c) for c in ("major_axis_px", "minor_axis_px", "eccentricity")))
 
 
+_SHAPE = "CASE WHEN slope = 0 AND \"both\" <= 0 THEN -pi() / 4 ELSE atan2(2.0 * \"both\", slope) / 2 END AS orientation, CASE WHEN l2 > 1e-12 THEN sqrt(l1) / sqrt(l2) ELSE 0 END AS aspect"
+
+
+@query(f"WITH RECURSIVE {LAB}{_GEO}, s AS (SELECT image_id, label, {_SHAPE} FROM e) SELECT image_id, label::INT AS label, round(orientation, 6) AS orientation, round(degrees(orientation), 4) AS orientation_deg, round(aspect, 4) AS aspect_ratio FROM s")
+def object_shape(spark, sf_dir):
+    g = M.geometry(M.label_pixels(_objects(spark, sf_dir)))
+    aspect = F.when(F.col("minor_axis_px") > 4e-6, F.col("aspect_ratio")).otherwise(F.lit(0.0))  # beyond the noise of doubles
+    return g.select("image_id", "label", F.round("orientation", 6).alias("orientation"), F.round("orientation_deg", 4).alias("orientation_deg"), F.round(aspect, 4).alias("aspect_ratio"))
+
+
+_FILLED = """, bx AS (SELECT image_id, label, count(*) AS area, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM lab GROUP BY ALL),
+free AS (SELECT bx.image_id, bx.label, gy, gx, gy = y0 AND gx = x0 AS corner FROM bx, range(-1, 9) s(gy), range(-1, 9) t(gx) WHERE gy BETWEEN y0 AND y1 AND gx BETWEEN x0 AND x1 AND NOT EXISTS (SELECT 1 FROM lab l WHERE l.image_id = bx.image_id AND l.label = bx.label AND l.y = gy AND l.x = gx)),
+outer_(image_id, label, gy, gx) AS (SELECT image_id, label, gy, gx FROM free WHERE corner UNION SELECT f.image_id, f.label, f.gy, f.gx FROM outer_ o JOIN free f ON f.image_id = o.image_id AND f.label = o.label AND abs(f.gy - o.gy) + abs(f.gx - o.gx) = 1),
+hole AS (SELECT image_id, label, count(*) AS n FROM (SELECT image_id, label, gy, gx FROM free EXCEPT SELECT * FROM outer_) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {LAB}{_FILLED} SELECT bx.image_id, bx.label::INT AS label, (area + coalesce(n, 0))::DOUBLE AS filled_area_px, coalesce(n, 0)::DOUBLE AS hole_area_px FROM bx LEFT JOIN hole USING (image_id, label)")
+def object_holes(spark, sf_dir):
+    f = _objects(spark, sf_dir)
+    t = M.label_pixels(f).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("area")).join(M.filled(f), ["image_id", "label"])
+    return t.select("image_id", "label", "filled_area_px", (F.col("filled_area_px") - F.col("area")).alias("hole_area_px"))
+
+
+@query(f"WITH RECURSIVE {LAB}{_GEO} SELECT image_id, label::INT AS label, round(area * 0.25, 6) AS area_um2, round(sqrt(4 * area / pi()) * 0.5, 6) AS equivalent_diameter_um FROM e")
+def calibrated_sizes(spark, sf_dir):
+    t = M.morphology(_objects(spark, sf_dir), 0.5)
+    return t.select("image_id", "label", F.round("area_um2", 6).alias("area_um2"), F.round("equivalent_diameter_um", 6).alias("equivalent_diameter_um"))
+
+
 @query(f"WITH RECURSIVE {LAB} SELECT image_id, label::INT AS label, bool_or(y IN (0, 7) OR x IN (0, 7)) AS touches_border FROM lab GROUP BY image_id, label")
 def touches_border(spark, sf_dir):
-    return M.geometry(M.label_pixels(_objects(spark, sf_dir)), 8, 8).select("image_id", "label", "touches_border")
+    return M.geometry(M.label_pixels(_objects(spark, sf_dir))).select("image_id", "label", "touches_border")
 
 
 _QUADS = ", o AS (SELECT unnest([0, 1, 0, 1]) AS dy, unnest([0, 0, 1, 1]) AS dx, unnest([1, 2, 4, 8]) AS b), k AS (SELECT image_id, label, y - dy AS y, x - dx AS x, sum(b) AS code FROM lab, o GROUP BY ALL)"
@@ -345,34 +383,65 @@ def glcm_features(spark, sf_dir):
 _TABLE = f"WITH RECURSIVE {LAB}{_GEO}{_QUADS}, per AS (SELECT image_id, label, sum(([{', '.join(map(repr, M.CROFTON))}]::DOUBLE[])[(code + 1)::INT]) AS per FROM k GROUP BY ALL), t AS (SELECT e.*, per, CASE WHEN per <= 0 THEN 0 ELSE least(greatest(4 * pi() * area / (per * per), 0), 1) END AS circ, y0 = 0 OR x0 = 0 OR y1 = 8 OR x1 = 8 AS tb FROM e JOIN per USING (image_id, label))"
 
 
-@query(_TABLE + ", i AS (SELECT image_id, label, avg(v) AS mv FROM lab GROUP BY ALL) SELECT image_id, label::INT AS label, area::DOUBLE AS area_px, round(circ, 6) AS circularity, tb AS touches_border, round(mv, 6) AS mean_intensity FROM t JOIN i USING (image_id, label)")
+_SOLID = _TABLE + _HULL + f", sol AS (SELECT image_id, label, any_value(area) / count(*) AS solidity FROM ins GROUP BY image_id, label), i AS (SELECT image_id, label, avg(v) AS mean_i, median(v) AS median_i, stddev_pop(v) AS std_i, min(v) AS min_i, max(v) AS max_i, sum(v) AS sum_i FROM lab GROUP BY ALL), full_ AS (SELECT t.*, {_SHAPE}, solidity, i.* EXCLUDE (image_id, label) FROM t JOIN sol USING (image_id, label) JOIN i USING (image_id, label))"
+_FEATURES = {
+    "area_px": "area", "centroid_y": "cy", "centroid_x": "cx", "extent": "area / ((y1 - y0) * (x1 - x0))", "equivalent_diameter_px": "sqrt(4 * area / pi())", "orientation": "orientation",
+    "perimeter_crofton_px": "per", "circularity": "circ", "solidity": "solidity", "mean_intensity": "mean_i", "median_intensity": "median_i", "std_intensity": "std_i", "min_intensity": "min_i",
+    "max_intensity": "max_i", "integrated_intensity": "sum_i",
+}
+
+
+@query(_SOLID + f" SELECT image_id, label::INT AS label, tb AS touches_border, {', '.join(f'round({e}, 6) AS {c}' for c, e in _FEATURES.items())} FROM full_")
 def feature_table(spark, sf_dir):
     t = M.feature_table(_objects(spark, sf_dir))
-    return t.select("image_id", "label", "area_px", F.round("circularity", 6).alias("circularity"), "touches_border", F.round("mean_intensity", 6).alias("mean_intensity"))
+    return t.select("image_id", "label", "touches_border", *(F.round(c, 6).alias(c) for c in _FEATURES))
+
+
+@query(_SOLID + " SELECT image_id, label::INT AS label, round(mean_i, 6) AS data_mean_intensity, round(max_i + 0.5, 6) AS other_max_intensity FROM full_ WHERE NOT tb")
+def feature_table_channels(spark, sf_dir):
+    f = _objects(spark, sf_dir).withColumn("other", F.transform("data", lambda v: v + 0.5))
+    t = M.feature_table(f, ("data", "other"), texture=False, exclude_border=True)
+    return t.select("image_id", "label", *(F.round(c, 6).alias(c) for c in ("data_mean_intensity", "other_max_intensity")))
 
 
 def _measured(spark, sf_dir):
     f = _objects(spark, sf_dir)
-    g = M.geometry(M.label_pixels(f), 8, 8).join(M.perimeter_euler(f), ["image_id", "label"])
-    return f, g.withColumn("circularity", M.circularity(F.col("area_px"), F.col("perimeter_crofton_px")))
+    return f, M.morphology(f).join(M.intensity(M.label_pixels(f)).select("image_id", "label", "mean_intensity"), ["image_id", "label"])
 
 
-@query(_TABLE + " SELECT v.vec_id AS image_id, count(t.label) AS n_objects, count(*) FILTER (tb) AS n_border_objects, round(avg(area), 6) AS area_px_mean, round(stddev_pop(area), 6) AS area_px_std, round(median(area), 6) AS area_px_median, round(avg(circ), 6) AS circularity_mean, round(stddev_pop(circ), 6) AS circularity_std, round(median(circ), 6) AS circularity_median FROM embeddings v LEFT JOIN t ON t.image_id = v.vec_id GROUP BY v.vec_id")
+_SUMMARY = {"area_px": "area", "perimeter_crofton_px": "per", "circularity": "circ", "eccentricity": "CASE WHEN l1 <= 0 THEN 0 ELSE sqrt(greatest(1 - l2 / l1, 0)) END", "solidity": "solidity"}
+_SUMMARY_SQL = ", ".join(f"round({f}({e}), {4 if c == 'eccentricity' else 6}) AS {c}_{n}" for c, e in _SUMMARY.items() for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("median", "median")))
+
+
+@query(_SOLID + f" SELECT v.vec_id AS image_id, count(t.label) AS n_objects, count(*) FILTER (tb) AS n_border_objects, {_SUMMARY_SQL}, round(avg(mean_i), 6) AS mean_intensity_mean FROM embeddings v LEFT JOIN full_ t ON t.image_id = v.vec_id GROUP BY v.vec_id")
 def image_summary(spark, sf_dir):
     f, objects = _measured(spark, sf_dir)
-    t = Q.image_summary(f, objects, ("area_px", "circularity"))
-    return t.select("image_id", "n_objects", "n_border_objects", *(F.round(c, 6).alias(c) for c in t.columns[3:]))
+    t = Q.image_summary(f, objects)
+    return t.select("image_id", "n_objects", "n_border_objects", *(F.round(c, 4 if c.startswith("eccentricity") else 6).alias(c) for c in t.columns[3:]))
+
+
+def _confidence():
+    """Mean likelihood of the likeliest class over foreground, or over all of a field without any; probabilities made of
+    pixel values."""
+
+    def top(v):
+        a, b = F.exp(v * 4), F.exp(-v * 4)
+        return F.struct((b / (a + b + 1)).alias("p0"), F.greatest(a / (a + b + 1), b / (a + b + 1), 1 / (a + b + 1)).alias("t"))
+
+    fg = lambda t: F.transform(F.filter(t, lambda r: r.p0 < 0.2), lambda r: r.t)
+    return A.bind(F.transform("data", top), lambda t: F.coalesce(A.mean(fg(t)), A.mean(F.transform(t, lambda r: r.t))))
 
 
 def _signals(spark, sf_dir):
     f, objects = _measured(spark, sf_dir)
-    images = f.select("image_id", F.size("labels").alias("n_pixels"), F.size(F.filter("labels", lambda v: v > 0)).alias("n_foreground"), F.array_max("labels").alias("n_labels"))
+    images = f.select("image_id", F.size("labels").alias("n_pixels"), F.size(F.filter("labels", lambda v: v > 0)).alias("n_foreground"), F.array_max("labels").alias("n_labels"), _confidence().alias("predictive_confidence"))
     return Q.signals(images, objects)
 
 
-_SIGNALS = _TABLE + """, i AS (SELECT image_id, count(*) FILTER (v > 0.1) AS nf FROM px GROUP BY image_id), m AS (SELECT image_id, median(area) AS med FROM t GROUP BY image_id),
-sig AS (SELECT i.image_id, count(t.label)::DOUBLE AS n_objects, nf / 64.0::DOUBLE AS foreground_fraction, count(t.label) * 1e6 / 64 AS object_density_per_mp, any_value(m.med) AS median_area_px, stddev_pop(area) / avg(area) AS area_cv, avg((area < 0.15 * m.med)::INT::DOUBLE) FILTER (t.label IS NOT NULL) AS tiny_fraction, median(circ) AS median_circularity, avg(tb::INT) AS border_fraction FROM i LEFT JOIN t USING (image_id) LEFT JOIN m USING (image_id) GROUP BY i.image_id, nf)"""
-_SIGNAL_COLUMNS = ("n_objects", "foreground_fraction", "object_density_per_mp", "median_area_px", "area_cv", "tiny_fraction", "median_circularity", "border_fraction")
+_PREDICTIVE = "pc AS (SELECT image_id, coalesce(avg(greatest(p0, p1, p2)) FILTER (p0 < 0.2), avg(greatest(p0, p1, p2))) AS predictive_confidence FROM (SELECT image_id, v, exp(v * 4) / (exp(v * 4) + exp(-v * 4) + 1) AS p1, exp(-v * 4) / (exp(v * 4) + exp(-v * 4) + 1) AS p0, 1 / (exp(v * 4) + exp(-v * 4) + 1) AS p2 FROM px) GROUP BY image_id)"
+_SIGNALS = _SOLID + f""", {_PREDICTIVE}, im AS (SELECT image_id, count(*) FILTER (v > 0.1) AS nf FROM px GROUP BY image_id), m AS (SELECT image_id, median(area) AS med FROM full_ GROUP BY image_id),
+sig AS (SELECT im.image_id, count(t.label)::DOUBLE AS n_objects, nf / 64.0::DOUBLE AS foreground_fraction, count(t.label) * 1e6 / 64 AS object_density_per_mp, any_value(m.med) AS median_area_px, stddev_pop(area) / avg(area) AS area_cv, avg((area < 0.15 * m.med)::INT::DOUBLE) FILTER (t.label IS NOT NULL) AS tiny_fraction, median(circ) AS median_circularity, avg(tb::INT) AS border_fraction, median(solidity) AS median_solidity, any_value(pc.predictive_confidence) AS predictive_confidence FROM im JOIN pc USING (image_id) LEFT JOIN full_ t USING (image_id) LEFT JOIN m USING (image_id) GROUP BY im.image_id, nf)"""
+_SIGNAL_COLUMNS = ("n_objects", "foreground_fraction", "object_density_per_mp", "median_area_px", "area_cv", "tiny_fraction", "median_circularity", "border_fraction", "median_solidity", "predictive_confidence")
 
 
 @query(_SIGNALS + f" SELECT image_id, {', '.join(f'round({c}, 6) AS {c}' for c in _SIGNAL_COLUMNS)} FROM sig")
@@ -380,28 +449,35 @@ def qc_signals(spark, sf_dir):
     return _signals(spark, sf_dir).select("image_id", *(F.round(c, 6).alias(c) for c in _SIGNAL_COLUMNS))
 
 
-_QC_RULES = tuple(r for r in Q.RULES if r[1] not in ("median_solidity", "predictive_confidence"))
-_PEN = ", ".join(f"coalesce(least(greatest({f'({s} - {lim}) / {wid}' if k == 'above' else f'({lim} - {s}) / {wid}'}, 0), 1), 0) AS p{i}" for i, (_, s, k, lim, wid) in enumerate(_QC_RULES))
-_PROD = " * ".join(f"(1 - p{i})" for i in range(len(_QC_RULES)))
+_PEN = ", ".join(f"coalesce(least(greatest({f'({s} - {lim}) / {wid}' if k == 'above' else f'({lim} - {s}) / {wid}'}, 0), 1), 0) AS p{i}" for i, (_, s, k, lim, wid) in enumerate(Q.RULES))
+_PROD = " * ".join(f"(1 - p{i})" for i in range(len(Q.RULES)))
+_FLAG_SQL = ", ".join(f"CASE WHEN p{i} > 0 THEN printf('{Q.FLAGS[r[0]][0]}', round_even({r[1]} * {Q.FLAGS[r[0]][1]}, {Q.FLAGS[r[0]][2]})) END" for i, r in enumerate(Q.RULES))
+_ASSESSED = _SIGNALS + f", pen AS (SELECT *, {_PEN} FROM sig), conf AS (SELECT *, CASE WHEN n_objects <= 0 THEN 0 ELSE {_PROD} END AS conf, CASE WHEN n_objects <= 0 THEN ['no objects detected'] ELSE list_filter([{_FLAG_SQL}], lambda x: x IS NOT NULL) END AS flags FROM pen)"
 
 
-@query(_SIGNALS + f", pen AS (SELECT *, {_PEN} FROM sig), conf AS (SELECT *, CASE WHEN n_objects <= 0 THEN 0 ELSE {_PROD} END AS conf FROM pen) SELECT image_id, round(conf, 5) AS confidence, n_objects > 0 AND conf >= 0.55 AS passed, CASE WHEN n_objects <= 0 THEN 'no objects detected' ELSE array_to_string(list_filter([{', '.join(f'CASE WHEN p{i} > 0 THEN {chr(39)}{r[0].replace(chr(95), chr(32))}{chr(39)} END' for i, r in enumerate(_QC_RULES))}], lambda x: x IS NOT NULL), '; ') END AS flags FROM conf")
+@query(_ASSESSED + " SELECT image_id, round(conf, 5) AS confidence, n_objects > 0 AND conf >= 0.55 AS passed, array_to_string(flags, '; ') AS flags FROM conf")
 def qc_assess(spark, sf_dir):
     t = Q.assess(_signals(spark, sf_dir))
     return t.select("image_id", F.round("confidence", 5).alias("confidence"), "passed", "flags")
 
 
-@query(ORACLE_SQL["qc_assess"].replace("SELECT image_id, round(conf, 5) AS confidence, n_objects > 0 AND conf >= 0.55 AS passed, CASE", "SELECT image_id, CASE WHEN n_objects <= 0 THEN 'fail' WHEN conf >= 0.55 THEN 'pass' WHEN conf >= 0.275 THEN 'review' ELSE 'fail' END AS verdict, CASE"))
+@query(_ASSESSED + f" SELECT image_id, round(conf, 4) AS qc_confidence, n_objects > 0 AND conf >= 0.55 AS qc_passed, array_to_string(flags, '; ') AS qc_flags, len(flags)::INT AS qc_n_flags, {', '.join(f'round({c}, 5) AS qc_{c}' for c in _SIGNAL_COLUMNS)}, {', '.join(f'CASE WHEN n_objects > 0 AND p{i} > 0 THEN round(p{i}, 5) END AS qc_penalty_{r[0]}' for i, r in enumerate(Q.RULES))} FROM conf")
+def qc_report(spark, sf_dir):
+    return Q.report(Q.assess(_signals(spark, sf_dir)))
+
+
+@query(_ASSESSED + " SELECT image_id, CASE WHEN n_objects <= 0 THEN 'fail' WHEN conf >= 0.55 THEN 'pass' WHEN conf >= 0.275 THEN 'review' ELSE 'fail' END AS verdict, array_to_string(flags, '; ') AS flags FROM conf")
 def qc_verdict(spark, sf_dir):
     t = Q.assess(_signals(spark, sf_dir))
     verdict = F.when(F.col("n_objects") <= 0, F.lit("fail")).when(F.col("confidence") >= Q.PASS, F.lit("pass")).when(F.col("confidence") >= Q.PASS / 2, F.lit("review")).otherwise(F.lit("fail"))
     return t.select("image_id", verdict.alias("verdict"), "flags")
 
 
-@query(ORACLE_SQL["image_summary"])
+@query(_ASSESSED + " SELECT image_id, n_objects::BIGINT AS n_objects, round(foreground_fraction, 6) AS foreground_fraction, round(median_area_px, 6) AS median_area_px, round(conf, 5) AS confidence, n_objects > 0 AND conf >= 0.55 AS passed FROM conf")
 def field_report(spark, sf_dir):
-    """From pixels to a summary of every field."""
-    return image_summary(spark, sf_dir)
+    """From pixels to the number of objects and a quality verdict of every field."""
+    t = Q.assess(_signals(spark, sf_dir))
+    return t.select("image_id", F.col("n_objects").cast("long").alias("n_objects"), *(F.round(c, 6).alias(c) for c in ("foreground_fraction", "median_area_px")), F.round("confidence", 5).alias("confidence"), "passed")
 
 
 @query("SELECT l_suppkey AS image_id, round(least(greatest((avg(l_quantity) - 1.25) / 0.5, 0), 1), 6) AS above, round(least(greatest((25.5 - avg(l_quantity)) / 2, 0), 1), 6) AS below FROM lineitem GROUP BY l_suppkey")
@@ -412,22 +488,19 @@ def penalty_ramp(spark, sf_dir):
 
 @query(f"WITH {PX}, q AS (SELECT image_id, v, exp(v * 4) / (exp(v * 4) + exp(-v * 4) + 1) AS p1, exp(-v * 4) / (exp(v * 4) + exp(-v * 4) + 1) AS p0, 1 / (exp(v * 4) + exp(-v * 4) + 1) AS p2 FROM px) SELECT image_id, round(coalesce(avg(greatest(p0, p1, p2)) FILTER (p0 < 0.2), avg(greatest(p0, p1, p2))), 6) AS confidence FROM q GROUP BY image_id")
 def predictive_confidence(spark, sf_dir):
-    def top(v):
-        a, b = F.exp(v * 4), F.exp(-v * 4)
-        return F.struct((b / (a + b + 1)).alias("p0"), F.greatest(a / (a + b + 1), b / (a + b + 1), 1 / (a + b + 1)).alias("t"))
+    return read_fields(spark, sf_dir).select("image_id", F.round(_confidence(), 6).alias("confidence"))
+
 
-    f = read_fields(spark, sf_dir).withColumn("t", F.transform("data", top))
-    fg = F.transform(F.filter("t", lambda r: r.p0 < 0.2), lambda r: r.t)
-    return f.select("image_id", F.round(F.coalesce(A.mean(fg), A.mean(F.transform("t", lambda r: r.t))), 6).alias("confidence"))
+_VALID = ", ".join(f"round(avg({c}) FILTER ({'NOT ' * (v == 'passed')}flagged), 4) AS {c}_{v}" for c in ("dice", "ap") for v in ("passed", "flagged"))
 
 
-@query("WITH j AS (SELECT quality = 0 AS failed, toxic = 1 AS flagged, quality, toxic FROM labels) SELECT count(*) AS n, count(*) FILTER (failed AND flagged) AS caught, count(*) FILTER (failed AND NOT flagged) AS missed, count(*) FILTER (NOT failed AND flagged) AS false_alarms, round(corr(quality, toxic), 6) AS corr, round(count(*) FILTER (failed AND flagged) / nullif(count(*) FILTER (failed), 0), 6) AS catch_rate FROM j")
+@query(f"WITH j AS (SELECT quality = 0 AS failed, toxic = 1 AS flagged, n_chars::DOUBLE AS confidence, (quality + 1.0) / (1 + n_chars % 7) AS dice, n_chars % 11 / 10.0 AS ap FROM labels JOIN documents USING (doc_id)) SELECT count(*) AS n, count(*) FILTER (failed) AS n_failures, count(*) FILTER (flagged) AS n_flagged, count(*) FILTER (failed AND flagged) AS caught, count(*) FILTER (failed AND NOT flagged) AS missed, count(*) FILTER (NOT failed AND flagged) AS false_alarms, round(count(*) FILTER (failed AND flagged) / nullif(count(*) FILTER (failed), 0), 4) AS catch_rate, round(count(*) FILTER (NOT failed AND flagged) / greatest(count(*) FILTER (NOT failed), 1), 4) AS false_alarm_rate, round(corr(confidence, dice), 4) AS corr, {_VALID} FROM j")
 def qc_validation(spark, sf_dir):
-    failed, flagged = F.col("quality") == 0, F.col("toxic") == 1
-    return _table(spark, sf_dir, "labels").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(failed & flagged).alias("caught"), F.count_if(failed & ~flagged).alias("missed"), F.count_if(~failed & flagged).alias("false_alarms"),
-        F.round(F.corr("quality", "toxic"), 6).alias("corr"), F.round(F.try_divide(F.count_if(failed & flagged).cast("double"), F.count_if(failed).cast("double")), 6).alias("catch_rate"),
-    )
+    j = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return Q.validation(j.select(
+        (F.col("quality") == 0).alias("failed"), (F.col("toxic") == 1).alias("flagged"), F.col("n_chars").cast("double").alias("confidence"),
+        ((F.col("quality") + 1.0) / (1 + F.col("n_chars") % 7)).alias("dice"), (F.col("n_chars") % 11 / 10.0).alias("ap"),
+    ))
 
 
 def _counts(spark, sf_dir):
@@ -457,9 +530,12 @@ def semantic_metrics(spark, sf_dir):
     return E.semantic_metrics(_counts(spark, sf_dir)).select("image_id", *(F.round(c, 6).alias(c) for c in ("dice", "iou", "precision", "recall", "specificity", "accuracy")))
 
 
-@query(f"WITH {COUNTS}, s AS (SELECT {_SEM_ALL} FROM c) SELECT round(avg(dice), 5) AS dice, round(avg(iou), 5) AS iou, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall FROM s")
+_SIX = ("dice", "iou", "precision", "recall", "specificity", "accuracy")
+
+
+@query(f"WITH {COUNTS}, s AS (SELECT {_SEM_ALL} FROM c) SELECT count(*) AS n_images, {', '.join(f'round(avg({c}), 5) AS {c}' for c in _SIX)} FROM s")
 def aggregate_metrics(spark, sf_dir):
-    return semantic_metrics(spark, sf_dir).agg(*(F.round(F.avg(c), 5).alias(c) for c in ("dice", "iou", "precision", "recall")))
+    return E.summary(semantic_metrics(spark, sf_dir)).select("n_images", *(F.round(c, 5).alias(c) for c in _SIX))
 
 
 @query(f"WITH {PX}, k AS (SELECT image_id, CASE WHEN v > 0.1 THEN 1 WHEN v > 0 THEN 2 ELSE 0 END AS t, CASE WHEN v > 0.08 THEN 1 WHEN v > -0.02 THEN 2 ELSE 0 END AS s FROM px), c AS (SELECT image_id, c, count(*) FILTER (t = c AND s = c) AS tp, count(*) FILTER (t <> c AND s = c) AS fp, count(*) FILTER (t = c AND s <> c) AS fn FROM k, (SELECT unnest([0, 1, 2]) AS c) GROUP BY image_id, c) SELECT image_id, c::INT AS class, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 1), 6) AS dice FROM c")
@@ -513,20 +589,32 @@ def iou_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)[1].select("image_id", "t", "p", F.round("iou", 6).alias("iou"))
 
 
-@query()
+#: Pairs that overlap no other object are matched; of the rest, all one-to-one choices are tried, one true object at a time.
+_MATCH = _LAB2 + """, one AS (SELECT *, count(*) OVER (PARTITION BY image_id, t) + count(*) OVER (PARTITION BY image_id, s) = 2 AS alone FROM iou),
+turn AS (SELECT image_id, t, row_number() OVER (PARTITION BY image_id ORDER BY t) AS k FROM (SELECT DISTINCT image_id, t FROM one WHERE NOT alone)),
+pick AS (SELECT image_id, t, s, iou FROM one WHERE NOT alone UNION ALL SELECT image_id, t, 0, 0 FROM turn),
+tried(image_id, k, used, total, took) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[], 0::DOUBLE, []::STRUCT(t BIGINT, s BIGINT, iou DOUBLE)[] FROM turn
+  UNION ALL SELECT r.image_id, r.k + 1, list_append(r.used, p.s), r.total + p.iou, list_append(r.took, {'t': p.t, 's': p.s, 'iou': p.iou}) FROM tried r JOIN turn n ON n.image_id = r.image_id AND n.k = r.k + 1 JOIN pick p ON p.image_id = n.image_id AND p.t = n.t AND (p.s = 0 OR NOT list_contains(r.used, p.s))),
+done AS (SELECT image_id, arg_max(took, total) AS took FROM tried JOIN (SELECT image_id, max(k) AS k FROM turn GROUP BY ALL) USING (image_id, k) GROUP BY image_id),
+matched AS (SELECT image_id, t, s, iou FROM one WHERE alone UNION ALL SELECT image_id, x.t, x.s, x.iou FROM (SELECT image_id, unnest(took) AS x FROM done) WHERE x.s > 0),
+good AS (SELECT * FROM matched WHERE iou >= 0.5 - 1e-12)"""
+
+
+@query(f"""WITH RECURSIVE {_MATCH} SELECT image_id, 'match' AS kind, t::INT AS t, s::INT AS p, round(iou, 6) AS iou FROM good
+UNION ALL SELECT image_id, 'miss', t::INT, NULL, NULL FROM (SELECT image_id, unnest(range(1, nt + 1)) AS t FROM cnt) ANTI JOIN good USING (image_id, t)
+UNION ALL SELECT image_id, 'extra', NULL, s::INT, NULL FROM (SELECT image_id, unnest(range(1, np + 1)) AS s FROM cnt) ANTI JOIN good USING (image_id, s)""")
 def match_instances(spark, sf_dir):
-    m = E.match_instances(*_pairs(spark, sf_dir))
-    return m.select("image_id", "n_true", "n_pred", F.posexplode_outer("matched").alias("rank", "iou")).withColumn("iou", F.round("iou", 6))
+    """Matched pairs, missed and extra objects at an IoU of one half."""
+    return E.matches_at(E.match_instances(*_pairs(spark, sf_dir))).withColumn("iou", F.round("iou", 6))
 
 
-#: From 0.60 on a pair that reaches the threshold is in every best assignment, so that SQL can count it.
-_AP = ", ".join(f"round(coalesce(count(iou) FILTER (iou >= {t} - 1e-12) / nullif(nt + np - count(iou) FILTER (iou >= {t} - 1e-12), 0), 1), 6) AS ap_{int(round(100 * t))}" for t in E.THRESHOLDS[2:])
+_AP = ", ".join(f"round(coalesce(count(iou) FILTER (iou >= {t} - 1e-12) / nullif(nt + np - count(iou) FILTER (iou >= {t} - 1e-12), 0), 1), 6) AS ap_{int(round(100 * t))}" for t in E.THRESHOLDS)
 
 
-@query(f"WITH RECURSIVE {_LAB2} SELECT c.image_id, {_AP} FROM cnt c LEFT JOIN iou USING (image_id) GROUP BY c.image_id, nt, np")
+@query(f"WITH RECURSIVE {_MATCH} SELECT c.image_id, {_AP} FROM cnt c LEFT JOIN matched USING (image_id) GROUP BY c.image_id, nt, np")
 def average_precision(spark, sf_dir):
     m = E.instance_metrics(E.match_instances(*_pairs(spark, sf_dir)))
-    return m.select("image_id", *(F.round(f"ap_{int(round(100 * t))}", 6).alias(f"ap_{int(round(100 * t))}") for t in E.THRESHOLDS[2:]))
+    return m.select("image_id", *(F.round(f"ap_{int(round(100 * t))}", 6).alias(f"ap_{int(round(100 * t))}") for t in E.THRESHOLDS))
 
 
 @query(f"WITH RECURSIVE {_LAB2} SELECT image_id, np::INT AS count_pred, nt::INT AS count_true, (np - nt)::INT AS count_error, abs(np - nt)::INT AS count_abs_error, round(coalesce(abs(np - nt) / nullif(nt, 0), 0), 6) AS count_rel_error FROM cnt")
@@ -537,10 +625,15 @@ def count_metrics(spark, sf_dir):
     return t.select("*", gap.alias("count_error"), F.abs(gap).alias("count_abs_error"), F.round(A.guarded(F.abs(gap), F.col("count_true")), 6).alias("count_rel_error"))
 
 
-@query()
+_AP_MEAN = " + ".join(f"coalesce(count(iou) FILTER (iou >= {t} - 1e-12) / nullif(nt + np - count(iou) FILTER (iou >= {t} - 1e-12), 0), 1)" for t in E.THRESHOLDS)
+
+
+@query(f"""WITH RECURSIVE {_MATCH}, a AS (SELECT c.image_id, nt, np, count(iou) FILTER (iou >= 0.5 - 1e-12) AS tp, coalesce(avg(iou) FILTER (iou >= 0.5 - 1e-12), 0) AS mi, ({_AP_MEAN}) / 10 AS apm FROM cnt c LEFT JOIN matched USING (image_id) GROUP BY c.image_id, nt, np),
+b AS (SELECT *, coalesce(tp / nullif(np, 0), 1) AS pr, coalesce(tp / nullif(nt, 0), 1) AS re FROM a)
+SELECT image_id, tp::INT AS tp, (np - tp)::INT AS fp, (nt - tp)::INT AS fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, round(mi, 6) AS mean_matched_iou, round(apm, 6) AS ap_mean, (np - nt)::INT AS count_error, abs(np - nt)::INT AS count_abs_error, round(coalesce(abs(np - nt) / nullif(nt, 0), 0), 6) AS count_rel_error FROM b""")
 def instance_metrics(spark, sf_dir):
     m = E.instance_metrics(E.match_instances(*_pairs(spark, sf_dir)))
-    return m.select("image_id", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_matched_iou", "ap_50", "ap_mean")))
+    return m.select("image_id", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_matched_iou", "ap_mean")), "count_error", "count_abs_error", F.round("count_rel_error", 6).alias("count_rel_error"))
 
 
 @query(f"WITH {PX}, k AS (SELECT image_id, y, x, v, unnest(['none', 'x0.5', 'x1.6']) AS corruption, unnest([1.0, 0.5, 1.6]) AS f FROM px), c AS (SELECT corruption, image_id, count(*) FILTER (v > 0.1 AND v * f > 0.1) AS tp, count(*) FILTER (v > 0.1) AS t, count(*) FILTER (v * f > 0.1) AS s FROM k GROUP BY ALL), d AS (SELECT corruption, avg(coalesce(2 * tp / nullif(t + s, 0), 1)) AS dice FROM c GROUP BY corruption) SELECT d.corruption, round(d.dice, 6) AS dice, round(z.dice - d.dice, 6) AS dice_drop, round(coalesce(d.dice / nullif(z.dice, 0), 0), 6) AS retention FROM d JOIN d z ON z.corruption = 'none'")
@@ -571,12 +664,27 @@ def paired_diff(spark, sf_dir):
     return _joined(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 3).alias("mean_diff"), F.round(F.expr("percentile(d, 0.5)"), 3).alias("median_diff"), F.count_if(F.col("d") > 0).alias("wins"))
 
 
-@query(f"WITH {_ARMS}, r AS (SELECT round(d, 2) AS d FROM j WHERE round(d, 2) <> 0), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM r) SELECT count(*) AS n, sum(rk) FILTER (d > 0)::DOUBLE AS w_plus, sum(rk) FILTER (d < 0)::DOUBLE AS w_minus, least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0))::DOUBLE AS w FROM k")
+_RANKS = f"WITH {_ARMS}, r AS (SELECT round(d, 2) AS d FROM j WHERE round(d, 2) <> 0), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM r), w AS (SELECT count(*) AS n, sum(rk) FILTER (d > 0)::DOUBLE AS w_plus, sum(rk) FILTER (d < 0)::DOUBLE AS w_minus, least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0))::DOUBLE AS w FROM k)"
+
+
+@query(_RANKS + " SELECT * FROM w")
 def wilcoxon_w(spark, sf_dir):
     t = E.wilcoxon(_joined(spark, sf_dir).withColumn("d", F.round("d", 2)))
     return t.select("n", *(F.col(c).cast("double").alias(c) for c in ("w_plus", "w_minus", "w")))
 
 
+@query(_RANKS + ", tie AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM r GROUP BY abs(d))), z AS (SELECT (w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM w, tie), x AS (SELECT z, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z) SELECT round(z, 5) AS z, round(least(1, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)), 6) AS p FROM x")
+def wilcoxon_p(spark, sf_dir):
+    t = E.wilcoxon_p(E.wilcoxon(_joined(spark, sf_dir).withColumn("d", F.round("d", 2))))
+    return t.select(F.round("z", 5).alias("z"), F.round("p", 6).alias("p"))
+
+
+@query()
+def paired_interval(spark, sf_dir):
+    """Paired report with a resampled interval; NumPy's generator has no SQL."""
+    return spark.createDataFrame([E.paired_report(_joined(spark, sf_dir))], "n long, mean double, median double, low double, high double, wins long, crosses_zero boolean")
+
+
 @query("WITH c AS (SELECT l_suppkey AS id, count(*) AS n FROM lineitem GROUP BY l_suppkey), r AS (SELECT id, n, row_number() OVER (ORDER BY n, id) - 1 AS k, count(*) OVER () AS t FROM c) SELECT id, n, CASE WHEN k = t // 6 THEN 'sparse' WHEN k = t // 2 THEN 'typical' ELSE 'crowded' END AS pick FROM r WHERE k IN (t // 6, t // 2, t - 2)")
 def pick_examples(spark, sf_dir):
     c = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -587,8 +695,13 @@ def pick_examples(spark, sf_dir):
 
 @query("WITH s AS (SELECT source, lang, n_chars FROM documents) SELECT source, count(DISTINCT lang) AS kinds, min(n_chars) AS least, list_sort(list(n_chars))[count(*) // 2 + 1] AS middle, max(n_chars) AS most FROM s GROUP BY source")
 def dataset_profile(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count_distinct("lang").alias("kinds"), F.min("n_chars").alias("least"), F.array_sort(F.collect_list("n_chars")).alias("_l"), F.max("n_chars").alias("most"))
-    return d.select("source", "kinds", "least", F.get("_l", F.expr("size(_l) div 2")).alias("middle"), "most")
+    """The upper median by counting equal values first, so that no source is gathered."""
+    d = _table(spark, sf_dir, "documents")
+    values = d.where("n_chars is not null").groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy("source").orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0)
+    middle = values.withColumns({"upto": F.sum("c").over(run), "all_": F.sum("c").over(Window.partitionBy("source"))}).where("upto > all_ div 2")
+    middle = middle.groupBy("source").agg(F.min("n_chars").alias("middle"))
+    return d.groupBy("source").agg(F.count_distinct("lang").alias("kinds"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most")).join(middle, "source").select("source", "kinds", "least", "middle", "most")
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 50 OFFSET 20")
@@ -609,3 +722,150 @@ def split_join(spark, sf_dir):
 def watershed_split(spark, sf_dir):
     f = K.map_fields(read_fields(spark, sf_dir), lambda a: K.watershed(a > 0, 1), "made", "array<int>")
     return pixels(f, "made").where("made > 0").select("image_id", "y", "x", F.col("made").alias("v"))
+
+
+@query(f"WITH {_MED}, h AS (SELECT *, median(m) OVER (PARTITION BY image_id) AS c FROM med) SELECT image_id, y::INT AS y, x::INT AS x, round(least(greatest(v - m + c, 0), 1), 6) AS v FROM h")
+def flatten(spark, sf_dir):
+    f = read_fields(spark, sf_dir).withColumn("back", P.median3(F.col("data"), F.col("height"), F.col("width")))
+    return _px(f.withColumn("data", P.flatten(F.col("data"), F.col("back"))))
+
+
+_POINTWISE = f"""{_MED}, c AS (SELECT *, median(v - m) OVER w AS c FROM med WINDOW w AS (PARTITION BY image_id)), s AS (SELECT *, 1.4826 * median(abs(v - m - c)) OVER (PARTITION BY image_id) AS s FROM c),
+h1 AS (SELECT image_id, y, x, CASE WHEN s >= 1e-6 AND abs(v - m) > 5 * s THEN m ELSE v END AS v FROM s),
+q1 AS (SELECT *, quantile_cont(v, 0.01) OVER w AS a, quantile_cont(v, 0.99) OVER w AS b, quantile_cont(v, 0.5) OVER w AS d FROM h1 WINDOW w AS (PARTITION BY image_id)),
+h2 AS (SELECT image_id, y, x, CASE WHEN b - a < 1e-6 OR d < (a + b) / 2 THEN v ELSE 1 - v END AS v FROM q1),
+q2 AS (SELECT *, quantile_cont(v, 0.02) OVER w AS a, quantile_cont(v, 0.98) OVER w AS b FROM h2 WINDOW w AS (PARTITION BY image_id)),
+h3 AS (SELECT image_id, y, x, CASE WHEN b - a < 1e-8 THEN 0 ELSE least(greatest((v - a) / (b - a), 0), 1) END AS v FROM q2),
+q3 AS (SELECT *, avg(v) OVER w AS a, stddev_pop(v) OVER w AS b FROM h3 WINDOW w AS (PARTITION BY image_id))"""
+
+
+@query(f"WITH {_POINTWISE} SELECT image_id, y::INT AS y, x::INT AS x, round(CASE WHEN b < 1e-8 THEN 0 ELSE least(greatest(((v - a) / b + 3) / 6, 0), 1) END, 6) AS v FROM q3")
+def preprocess_pointwise(spark, sf_dir):
+    """The chain in its fixed order, with the steps that SQL can follow."""
+    return _px(P.preprocess_fields(read_fields(spark, sf_dir), P.Chain(illumination=None, denoise=None, contrast="stretch", normalize="zscore")))
+
+
+@query(f"WITH {_POINTWISE}, t AS (SELECT image_id, y, x, round(CASE WHEN b < 1e-8 THEN 0 ELSE least(greatest(((v - a) / b + 3) / 6, 0), 1) END, 6) AS v FROM q3) SELECT image_id, y::INT AS y, x::INT AS x, CASE WHEN image_id % 3 = 1 THEN t.v ELSE round(px.v, 6) END AS v FROM px JOIN t USING (image_id, y, x)")
+def preprocess_channels(spark, sf_dir):
+    """Only the selected channel changes."""
+    f = read_fields(spark, sf_dir).withColumn("channel", F.concat(F.lit("c"), F.col("image_id") % 3))
+    return _px(P.preprocess_fields(f, P.Chain(illumination=None, denoise=None, contrast="stretch", normalize="zscore"), ["c1"]))
+
+
+@query()
+def preprocess_chain(spark, sf_dir):
+    return _px(P.preprocess_fields(read_fields(spark, sf_dir)))
+
+
+@query(f"WITH {_HIST}, g AS (SELECT i.image_id, i.lo, i.hi, b.b, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT image_id, lo, hi FROM h) i CROSS JOIN range(256) b(b) LEFT JOIN h ON h.image_id = i.image_id AND h.b = b.b), k AS (SELECT image_id, min(b) FILTER (n > 0) AS b0, max(b) FILTER (n > 0) AS b1, arg_max(b, (n, -b)) AS top, max(n) AS most FROM g GROUP BY image_id), f AS (SELECT g.*, k.*  EXCLUDE (image_id), top - b0 < b1 - top AS flip FROM g JOIN k USING (image_id)), d AS (SELECT image_id, lo, hi, b, CASE WHEN flip THEN 255 - b ELSE b END AS x, CASE WHEN flip THEN 255 - b1 ELSE b0 END AS x0, CASE WHEN flip THEN 255 - top ELSE top END AS x1, n, most FROM f) SELECT image_id, round(arg_max(lo + (b + 0.5) * (hi - lo) / 256, (most * (x - x0) - (x1 - x0) * n, -x)), 6) AS threshold FROM d WHERE x >= x0 AND x < x1 GROUP BY image_id")
+def threshold_triangle(spark, sf_dir):
+    f = K.map_fields(read_fields(spark, sf_dir), lambda a: [K.triangle_threshold(a)], "made", "array<double>")
+    return f.select("image_id", F.round(F.get("made", F.lit(0)), 6).alias("threshold"))
+
+
+@query(f"WITH {PX}, q AS (SELECT *, exp(v * 4) / (exp(v * 4) + exp(-v * 4) + 1) AS p1, exp(-v * 4) / (exp(v * 4) + exp(-v * 4) + 1) AS p0, 1 / (exp(v * 4) + exp(-v * 4) + 1) AS p2 FROM px) SELECT image_id, y::INT AS y, x::INT AS x, 1 - p0 > 0.5 AS foreground, p1 > 0.5 AND p1 >= p2 AND 1 - p0 > 0.5 AS seed FROM q")
+def prob_seeds(spark, sf_dir):
+    def classes(v):
+        a, b = F.exp(v * 4), F.exp(-v * 4)
+        return F.struct((a / (a + b + 1)).alias("p1"), (b / (a + b + 1)).alias("p0"), (1 / (a + b + 1)).alias("p2"))
+
+    px = pixels(read_fields(spark, sf_dir).withColumn("data", F.transform("data", classes)))
+    p0, p1, p2 = (F.col(f"data.p{k}") for k in range(3))
+    return px.select("image_id", "y", "x", (1 - p0 > 0.5).alias("foreground"), ((p1 > 0.5) & (p1 >= p2) & (1 - p0 > 0.5)).alias("seed"))
+
+
+def _softmax(a):
+    import numpy as np
+
+    e = np.exp(np.stack([-4 * a, 4 * a, 0 * a]))
+    return e / e.sum(0)
+
+
+@query()
+def probability_instances(spark, sf_dir):
+    f = K.map_fields(read_fields(spark, sf_dir), lambda a: S.probabilities_to_instances(_softmax(a), None, S.Postprocess(least_seed=1, least_area=2)), "made", "array<int>")
+    return pixels(f, "made").where("made > 0").select("image_id", "y", "x", F.col("made").alias("v"))
+
+
+@query()
+def distance_instances(spark, sf_dir):
+    f = K.map_fields(read_fields(spark, sf_dir), lambda a: S.probabilities_to_instances(_softmax(a), K.minmax_normalize(a), S.Postprocess(least_seed=1, least_area=2)), "made", "array<int>")
+    return pixels(f, "made").where("made > 0").select("image_id", "y", "x", F.col("made").alias("v"))
+
+
+@query()
+def classical_instances(spark, sf_dir):
+    how = S.Classical(opening=0, closing=0, least_area=2, spacing=1)
+    f = S.segment_fields(read_fields(spark, sf_dir), how)
+    return pixels(f, "labels").where("labels > 0").select("image_id", "y", "x", F.col("labels").alias("v"))
+
+
+@query(ORACLE_SQL["semantic_target"])
+def semantic_target_kernel(spark, sf_dir):
+    """The same target by the kernel that also widens boundaries."""
+    f = K.map_fields(_objects(spark, sf_dir), lambda a: S.semantic_target(a, 1), "made", "array<int>", ("labels",))
+    return pixels(f, "made").where("made > 0").select("image_id", "y", "x", F.col("made").alias("v"))
+
+
+_CODES = PX + """, code AS (SELECT *, CASE WHEN v > 0.12 THEN 2 WHEN v > 0.05 THEN 1 ELSE 0 END AS c FROM px), fg AS (SELECT * FROM code WHERE c > 0),
+reach(image_id, p, q) AS (SELECT image_id, p, p FROM fg UNION SELECT r.image_id, r.p, f.p FROM reach r JOIN fg g ON g.image_id = r.image_id AND g.p = r.q
+  JOIN fg f ON f.image_id = r.image_id AND f.c = g.c AND abs(f.y - g.y) <= 1 AND abs(f.x - g.x) <= 1),
+root AS (SELECT image_id, p, min(q) AS root FROM reach GROUP BY image_id, p)"""
+
+
+@query(f"WITH RECURSIVE {_CODES} SELECT fg.image_id, fg.y::INT AS y, fg.x::INT AS x, dense_rank() OVER (PARTITION BY fg.image_id ORDER BY fg.c, root)::INT AS v FROM fg JOIN root USING (image_id, p)")
+def decode_colored(spark, sf_dir):
+    import numpy as np
+
+    f = K.map_fields(read_fields(spark, sf_dir), lambda a: K.label_colours(np.select([a > 0.12, a > 0.05], [2, 1], 0)), "made", "array<int>")
+    return pixels(f, "made").where("made > 0").select("image_id", "y", "x", F.col("made").alias("v"))
+
+
+@query(f"WITH {PX}, b AS (SELECT image_id // 3 AS field, image_id % 3 AS band, y, x, least(greatest(floor(v * 255), 0), 255)::INT AS q FROM px WHERE image_id // 3 < (SELECT count(*) // 3 FROM embeddings)), r AS (SELECT field, max(s) AS hi, min(s) AS lo, arg_max(band, (s, -band)) AS top FROM (SELECT field, band, var_pop(q) AS s FROM b GROUP BY ALL) GROUP BY field) SELECT b.field AS image_id, y::INT AS y, x::INT AS x, (CASE WHEN any_value(hi - lo) > 0.15 * greatest(any_value(hi), 1e-6) THEN max(q) FILTER (band = top) ELSE (max(q) FILTER (band = 0) * 4899 + max(q) FILTER (band = 1) * 9617 + max(q) FILTER (band = 2) * 1868 + 8192) // 16384 END)::INT AS v FROM b JOIN r USING (field) GROUP BY b.field, y, x")
+def single_channel(spark, sf_dir):
+    """Three bands to the one whose spread stands out, else to their luminance, on whole levels."""
+    px = pixels(P_uint8(read_fields(spark, sf_dir))).withColumns({"field": F.floor(F.col("image_id") / 3), "band": F.col("image_id") % 3})
+    bands = px.groupBy("field", "y", "x").agg(*(F.max(F.when(F.col("band") == k, F.col("data"))).alias(f"b{k}") for k in range(3))).where("b0 is not null and b1 is not null and b2 is not null")
+    spread = bands.groupBy("field").agg(*(F.var_pop(f"b{k}").alias(f"s{k}") for k in range(3)))
+    hi, lo = F.greatest("s0", "s1", "s2"), F.least("s0", "s1", "s2")
+    own = F.when(F.col("s0") >= F.greatest("s1", "s2"), F.col("b0")).when(F.col("s1") >= F.col("s2"), F.col("b1")).otherwise(F.col("b2"))
+    grey = F.expr("(b0 * 4899 + b1 * 9617 + b2 * 1868 + 8192) div 16384")
+    v = F.when(hi - lo > 0.15 * F.greatest(hi, F.lit(1e-6)), own).otherwise(grey).cast("int")
+    return bands.join(spread, "field").select(F.col("field").alias("image_id"), "y", "x", v.alias("v"))
+
+
+def P_uint8(fields):
+    return fields.withColumn("data", P.to_uint8(F.col("data")))
+
+
+@query()
+def evaluate_split(spark, sf_dir):
+    """Per-image metrics of thresholded fields against their labelled objects."""
+    t = E.evaluate_fields(_objects(spark, sf_dir), lambda a: K.label(a > 0.15))
+    return t.select("image_id", *(F.round(c, 6).alias(c) for c in ("dice", "iou", "precision", "recall", "f1", "ap_mean", "count_error")))
+
+
+@query()
+def robustness_table(spark, sf_dir):
+    t = E.evaluate_robustness(_objects(spark, sf_dir), lambda a: K.label(a > 0.15))
+    return t.select("corruption", *(F.round(c, 5).alias(c) for c in ("dice", "ap_mean", "dice_drop", "ap_drop", "dice_retention")))
+
+
+@query()
+def unet_probabilities(spark, sf_dir):
+    """Class probabilities and distance of a small network with seeded weights, the mean of eight views."""
+    net = U.random_weights(1, 3, base=4, depth=2, distance=True, seed=5)
+    f = K.map_fields(read_fields(spark, sf_dir), lambda a: U.predict(net, a, True).ravel(), "made", "array<double>")
+    return f.select("image_id", F.posexplode("made").alias("p", "v")).select("image_id", F.floor(F.col("p") / 64).cast("int").alias("map"), (F.col("p") % 64).cast("int").alias("p"), F.round("v", 6).alias("v"))
+
+
+@query()
+def augmented_fields(spark, sf_dir):
+    return _px(G.augment_fields(_objects(spark, sf_dir), seed=3))
+
+
+@query(f"WITH {PX}, o AS (SELECT unnest(range(-2, 10)) AS i) SELECT px.image_id, (a.i + 2)::INT AS y, (b.i + 2)::INT AS x, round(v, 6) AS v FROM o a, o b JOIN px ON px.y = CASE WHEN a.i < 0 THEN -a.i WHEN a.i > 7 THEN 14 - a.i ELSE a.i END AND px.x = CASE WHEN b.i < 0 THEN -b.i WHEN b.i > 7 THEN 14 - b.i ELSE b.i END")
+def padded_fields(spark, sf_dir):
+    """Fields padded by mirroring to 12 x 12."""
+    f = K.map_fields(read_fields(spark, sf_dir), lambda a: G.padded(a, 12), "made", "array<double>")
+    return _px(f.withColumns({"height": F.lit(12), "width": F.lit(12)}), column="made")
