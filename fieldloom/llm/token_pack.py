@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import materialize, tidy
 
 _TOGETHER = 4000  # stems of letters that are encoded at a time
-_TEXTS = 2 << 20  # characters of texts whose words are counted once, at least one text
+_REMEMBER = 300_000  # stems, and runs of marks, whose ids a worker keeps
+_TEXTS = 4 << 20  # characters of texts whose words are counted once, at least one text
 _MARKS = ".,;:!?|#$%&*"
 _BEFORE_MARKS = r"(?s)^.*[^.,;:!?|#$%&*]"  # greedy: up to the last other character
 
@@ -51,7 +52,7 @@ class WordEncoder:
     Space and newline always separate, so a text's ids are those of its words in turn. Words are cut, counted once each and
     put together again as Arrow and NumPy arrays. Of a word that ends in one run of plain punctuation, which is a piece of
     its own, stem and run are encoded apart; stems of letters only go many at a time, as each ends with a token that is
-    marked as a word's end. Nothing is kept from one call to the next."""
+    marked as a word's end. Ids of _REMEMBER stems at most are kept from one call to the next."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,9 +66,26 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known, self.pool, self.edges = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every unit, one after the other, and where each unit's ids begin."""
+        units = units.cast(pa.large_string())
+        spot = pc.index_in(units, value_set=self.known)
+        fresh = units.filter(pc.is_null(spot))
+        new, cuts = self._fresh(fresh) if len(fresh) else (self.pool[:0], self.edges[:1])
+        pool, edges = np.concatenate([self.pool, new]), np.concatenate([self.edges, cuts[1:] + len(self.pool)])
+        spot = spot.to_numpy(zero_copy_only=False)
+        unknown = np.isnan(spot) if spot.dtype.kind == "f" else np.zeros(len(spot), bool)
+        at = np.where(unknown, len(self.known) - 1 + np.cumsum(unknown), np.nan_to_num(spot)).astype(np.int64)
+        length = np.diff(edges)[at]
+        if len(self.known) + len(fresh) <= _REMEMBER and fresh.nbytes + self.known.nbytes <= 16 << 20:
+            self.known, self.pool, self.edges = pa.concat_arrays([self.known, fresh]), pool, edges
+        elif fresh.nbytes <= 16 << 20:
+            self.known, self.pool, self.edges = fresh, new, cuts
+        return _ragged(pool, edges[at], length), np.concatenate([[0], np.cumsum(length)])
+
+    def _fresh(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         letters = pc.utf8_is_alpha(units)
         ascii_only = pc.string_is_ascii(units)
         pools, where, counts = [], [], []
@@ -135,9 +153,9 @@ def _ragged(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarr
 _encoders: dict[str, WordEncoder] = {}
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: int = 1, block: int = _TEXTS) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32 bits): every document's ids and end_id, cut
-    into pieces of at most tokens ids. No shuffle."""
+    into pieces of at most tokens ids. block: characters whose words are counted together. No shuffle."""
 
     @tidy
     def cut(batches):
@@ -174,7 +192,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id: in
                 ids.append(doc_id)
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
-                if size > _TEXTS:
+                if size > block:
                     yield from flush_texts(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:
@@ -250,8 +268,8 @@ def pack_pieces(pieces: DataFrame, capacities: Capacities = Capacities(), weight
     return pieces.repartition(n, F.xxhash64("row")).mapInArrow(pack, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int = 1, **how) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int = 1, block: int = _TEXTS, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = token_pieces(docs, tokenizer, capacities.tokens, end_id)
+    pieces = token_pieces(docs, tokenizer, capacities.tokens, end_id, block)
     slim = pieces.select(F.monotonically_increasing_id().alias("row"), "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack_pieces(materialize(slim, "pieces"), capacities, **how)
