@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 48 << 20
 #: Bytes of text that one numpy step takes; a longer text is a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BATCH_ROWS = 4000
 _own_folder: list[str] = []

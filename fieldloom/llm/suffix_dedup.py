@@ -32,11 +32,11 @@ U = np.uint64
 _FIRST = -(1 << 63)  # stands for a null doc_id
 _STRETCH = 1024  # bytes of the first document whose segments share a shard
 _CROWD = 256  # distinct segments of an anchor from which on it has a shard of its own
-_BLOCK = 8 << 20  # bytes of text within which a task reduces equal segments
+_BLOCK = 4 << 20  # bytes of text within which a task reduces equal segments
 _MEMORY = 4 << 20  # bytes of a sorter's array beyond which it is a file
 _ROWS = 1 << 16  # suffixes, or pieces, that are taken at once
 _ONE = np.ones(1, np.int16)  # the symbol behind a piece
-_SORT = 1 << 20  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
+_SORT = 1 << 19  # bytes of distinct segments that one suffix array takes; an anchor's segments stay together
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int):
