@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 from fieldloom.llm import ngram_join, quality_knn, quality_rules, suffix_dedup, token_pack
 from fieldloom.llm.common import bounded_batches, delete_written, materialize, written
 
+BATCH_ROWS = 2000  # documents that a worker gets at once
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; lines that are frequent on their host are removed from the text."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     return quality_rules.kept_documents(docs.select(*COLUMNS))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, takes for good."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     docs = docs.select(*COLUMNS)
     model = quality_knn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_knn.score_documents(docs, model).where("score >= 0.3").select(*COLUMNS)
@@ -32,7 +33,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near duplicates."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     docs = docs.select(*COLUMNS)
     gone = ngram_join.jaccard_components(docs, with_links=False).where("component_id <> doc_id").select("doc_id")
     return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
@@ -40,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without bytes that repeat earlier strings of 100 bytes; what is left of a cut character goes too."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
     changed = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     return changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -48,8 +49,8 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 4096 tokens."""
-    bounded_batches(spark)
-    return token_pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    bounded_batches(spark, BATCH_ROWS)
+    return token_pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), block=1 << 20)
 
 
 STAGES = [
