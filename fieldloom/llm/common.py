@@ -26,6 +26,8 @@ _BATCH_ROWS = 4000
 _own_folder: list[str] = []
 _made: list[str] = []
 _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
+if _libc is not None:
+    _libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped, so that they go back to the system when freed
 
 
 def release() -> None:
