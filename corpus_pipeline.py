@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm import ngram_join, quality_knn, quality_rules, suffix_dedup, token_pack
 from fieldloom.llm.common import bounded_batches, delete_written, materialize, written
 
-BATCH_ROWS = 2000  # documents that a worker gets at once
+BATCH_ROWS = 1000  # documents that a worker gets at once
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
