@@ -215,6 +215,22 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(101)} | {400: 400, 500: 400}
 
 
+def test_forest_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 900, 600), rng.integers(0, 900, 600)
+    label = {int(x): int(x) for x, y in zip(u, v, strict=True) if x != y} | {int(y): int(y) for x, y in zip(u, v, strict=True) if x != y}
+    for _ in label:
+        for x, y in zip(u.tolist(), v.tolist(), strict=True):
+            if x != y:
+                label[x] = label[y] = min(label[x], label[y])
+    nodes, roots = components.forest(np.maximum(u, v)[u != v], np.minimum(u, v)[u != v])
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {k: r for k, r in label.items() if k != r}
+    edges = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "a long, b long")
+    for block in (40, 1 << 20):  # many blocks, whose forests the stars join, and one
+        assert {r.node: r.component for r in components.connected_components(edges, block=block).collect()} == label
+    assert components.connected_components(edges.where("a is null")).count() == 0
+
+
 def test_suffix_dedup(spark, odd, none):
     rows = [(d, t) for d, t, _ in odd_texts() if d is not None]
     out = suffix_dedup.digests(odd).toPandas()
