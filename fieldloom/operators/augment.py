@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import kernels as K
+from fieldloom.operators import segment as S
+from fieldloom.operators.preprocess import Chain, preprocess_field
 
 
 def padded(a: np.ndarray, size: int, zeros: bool = False) -> np.ndarray:
@@ -91,3 +93,24 @@ def augment_fields(fields: DataFrame, seed: int = 0) -> DataFrame:
     n = F.size("data")
     labels = F.transform(F.slice("_made", n + 1, n), lambda v: v.cast("int"))
     return made.withColumns({"_data": F.slice("_made", F.lit(1), n), "_labels": labels}).withColumns({"data": F.col("_data"), "labels": F.col("_labels")}).drop("_data", "_labels", "_made", "_key")
+
+
+def training_items(fields: DataFrame, size: int, train: bool = True, how: Chain = Chain(), boundary: int = 2, seed: int = 0) -> DataFrame:
+    """image_id, height, width, data, labels, target (classes) and distance of one size x size part of every field.
+
+    The whole field goes through the chain, as its statistics are those of the field, not of the part; then it is cut, at a
+    random place and augmented for training, else in its middle. Random numbers depend on the seed and the image_id only."""
+
+    def item(a, labels, key):
+        a, labels, r = preprocess_field(a, how)[0], labels.astype(int), np.random.default_rng([seed, abs(int(key.flat[0]))])
+        at = tuple(int(r.integers(0, max(n - size, 0) + 1)) for n in a.shape) if train else None
+        a, labels = cropped(a, size, at), cropped(labels, size, at, zeros=True)
+        if train:
+            a, labels = augmented(a, labels, r)
+        return np.concatenate([x.ravel() for x in (a, labels, S.semantic_target(labels, boundary), S.distance_target(labels))])
+
+    rows = fields.withColumn("_key", F.transform("data", lambda _: F.col("image_id").cast("double")))
+    made = K.map_fields(rows, item, "_made", "array<double>", ("data", "labels", "_key"))
+    n = size * size
+    part = lambda k, kind: F.slice("_made", k * n + 1, n).cast(f"array<{kind}>")
+    return made.select("image_id", F.lit(size).alias("height"), F.lit(size).alias("width"), part(0, "double").alias("data"), part(1, "int").alias("labels"), part(2, "int").alias("target"), part(3, "double").alias("distance"))

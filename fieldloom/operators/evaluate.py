@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import arrays as A
 from fieldloom.operators import kernels as K
+from fieldloom.operators import segment as S
 from fieldloom.sources.fields import pixels
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
@@ -221,6 +222,66 @@ def summary(table: DataFrame) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("n_images"), *(F.avg(c).alias(c) for c in numbers))
 
 
+def field_precision(truth: np.ndarray, pred: np.ndarray) -> float:
+    """Average precision over all thresholds of two label maps of one field."""
+    t, p = truth.astype(np.int64), pred.astype(np.int64)
+    wide = int(p.max(initial=0)) + 1
+    both, n = np.unique(t * wide + p, return_counts=True)
+    at, ap = np.bincount(t.ravel()), np.bincount(p.ravel())
+    pairs = [(int(c // wide), int(c % wide), float(m / (at[c // wide] + ap[c % wide] - m))) for c, m in zip(both, n, strict=True) if c >= wide and c % wide]
+    ious = np.array([iou for *_, iou in assigned(pairs)])
+    hits = np.array([(ious >= x - 1e-12).sum() for x in THRESHOLDS])
+    objects = t.max(initial=0) + p.max(initial=0) - hits
+    return float(np.divide(hits, objects, out=np.ones(len(hits)), where=objects > 0).mean())
+
+
+def validate_maps(fields: DataFrame, classes: int = 3, boundary: int = 2, how: S.Postprocess = S.Postprocess()) -> DataFrame:
+    """image_id and what a model is chosen by: dice of the foreground and of every class, distance_mae over the foreground (null
+    without a predicted distance or foreground), ap_mean of the instances. summary() gives the means.
+
+    fields: labels (truth) and maps (array<double>), the likelihoods of the classes, then the distance where there is one."""
+    names = ["background", "interior", "boundary"][:classes]
+    columns = ["dice", *(f"dice_{n}" for n in names), "distance_mae", "ap_mean"]
+
+    def dice(a, b):
+        both = int(a.sum() + b.sum())
+        return 2.0 * int((a & b).sum()) / both if both else 1.0
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for h, w, labels, maps in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("labels"), batch.column("maps"), strict=True):
+                labels = labels.values.to_numpy(zero_copy_only=False).reshape(h, w)
+                maps = maps.values.to_numpy(zero_copy_only=False).reshape(-1, h, w)
+                probs, far = maps[:classes], maps[classes] if len(maps) > classes else None
+                target, found = S.semantic_target(labels, boundary), probs.argmax(0)
+                error = float(np.abs(far - S.distance_target(labels))[target > 0].mean()) if far is not None and target.any() else None
+                made.append((dice(target > 0, found > 0), *(dice(target == k, found == k) for k in range(len(names))), error, field_precision(labels, S.probabilities_to_instances(probs, far, how))))
+            values = zip(*made, strict=True) if made else [[]] * len(columns)
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), *(pa.array(v, pa.float64()) for v in values)], names=["image_id", *columns])
+
+    kind = fields.schema["image_id"].dataType.simpleString()
+    rows = fields.select("image_id", "height", "width", F.col("labels").cast("array<int>").alias("labels"), "maps")
+    return rows.mapInArrow(run, f"image_id {kind}, " + ", ".join(f"{c} double" for c in columns))
+
+
+#: What a reader of a comparison wants first, in this order.
+COMPARED = ("backend", "dice", "iou", "precision", "recall", "f1", "ap_mean", "mean_matched_iou", "count_abs_error", "time_mean_s")
+
+
+def comparison(runs: dict[str, DataFrame], skipped: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """A row a backend with its means over images, the columns of COMPARED first, and the backends without a run with the
+    reason. runs: tables of one row an image; what a run did not measure is null in its row."""
+    if not runs:
+        raise ValueError("no runs")
+    parts = [summary(table).withColumn("backend", F.lit(name)) for name, table in runs.items()]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part, allowMissingColumns=True)
+    ahead = [c for c in COMPARED if c in table.columns]
+    return table.select(*ahead, *(c for c in table.columns if c not in ahead)), {k: v for k, v in (skipped or {}).items() if k not in runs}
+
+
 def evaluate_robustness(fields: DataFrame, segment, corruptions: tuple[str, ...] = tuple(CORRUPTIONS), seed: int = 0) -> DataFrame:
     """Mean metrics without and with every corruption, the drops of dice and mean precision, and the share of dice kept."""
     parts = [summary(evaluate_fields(corrupt(fields, c, seed), segment)).withColumn("corruption", F.lit(c)) for c in ("none", *corruptions)]

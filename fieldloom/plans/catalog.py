@@ -859,6 +859,30 @@ def unet_probabilities(spark, sf_dir):
     return f.select("image_id", F.posexplode("made").alias("p", "v")).select("image_id", F.floor(F.col("p") / 64).cast("int").alias("map"), (F.col("p") % 64).cast("int").alias("p"), F.round("v", 6).alias("v"))
 
 
+@query()
+def validation_maps(spark, sf_dir):
+    """Measures of the maps of a small network with seeded weights against labelled objects."""
+    net = U.random_weights(1, 3, base=4, depth=2, distance=True, seed=5)
+    f = K.map_fields(_objects(spark, sf_dir), lambda a: U.predict(net, a).ravel(), "maps", "array<double>")
+    t = E.validate_maps(f, boundary=1)
+    return t.select("image_id", *(F.round(c, 6).alias(c) for c in t.columns[1:]))
+
+
+@query(f"WITH {COUNTS}, s AS (SELECT {_SEM_ALL} FROM c) SELECT 'fixed' AS backend, {', '.join(f'round(avg({c}), 5) AS {c}' for c in ('dice', 'iou', 'precision', 'recall'))}, count(*) AS n_images FROM s UNION ALL SELECT 'dice only', round(avg(dice), 5), NULL, NULL, NULL, count(*) FROM s")
+def comparison_table(spark, sf_dir):
+    t = E.semantic_metrics(_counts(spark, sf_dir)).select("image_id", "dice", "iou", "precision", "recall")
+    made, _ = E.comparison({"fixed": t, "dice only": t.select("image_id", "dice")})
+    return made.select("backend", *(F.round(c, 5).alias(c) for c in ("dice", "iou", "precision", "recall")), "n_images")
+
+
+@query()
+def training_items(spark, sf_dir):
+    """Parts of 6 x 6 pixels of every labelled field with their targets."""
+    t = G.training_items(_objects(spark, sf_dir), 6, how=P.Chain(hot_pixels=None, illumination=None, contrast=None), boundary=1, seed=3)
+    rows = t.select("image_id", F.posexplode(F.arrays_zip("data", "labels", "target", "distance")).alias("p", "z"))
+    return rows.select("image_id", "p", F.round("z.data", 6).alias("v"), "z.labels", "z.target", F.round("z.distance", 6).alias("distance"))
+
+
 @query()
 def augmented_fields(spark, sf_dir):
     return _px(G.augment_fields(_objects(spark, sf_dir), seed=3))

@@ -346,3 +346,51 @@ def test_flat_fields_have_no_threshold(spark, tmp_path):
         if name != "threshold_triangle":
             assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 0
     assert {r.image_id for r in catalog.QUERIES["threshold_otsu"](spark, str(tmp_path)).collect()} == {0}
+
+
+def test_field_precision_is_that_of_instance_metrics(spark):
+    rng = np.random.default_rng(8)
+    truth = [K.label(rng.random((24, 24)) > 0.7) for _ in range(3)] + [np.zeros((24, 24), int), np.zeros((24, 24), int)]
+    pred = [K.label(rng.random((24, 24)) > 0.7), K.label(truth[1] > 1), truth[2], np.zeros((24, 24), int), truth[0]]
+    f = fields(spark, truth, labels=truth, pred=pred)
+    images = f.select("image_id", F.array_max("labels").alias("n_true"), F.array_max("pred").alias("n_pred"))
+    px = f.select("image_id", F.explode(F.arrays_zip("labels", "pred")).alias("z")).select("image_id", F.col("z.labels").alias("t"), F.col("z.pred").alias("p"))
+    want = {r.image_id: r.ap_mean for r in E.instance_metrics(E.match_instances(images, E.iou_pairs(px))).collect()}
+    got = [E.field_precision(t, p) for t, p in zip(truth, pred, strict=True)]
+    assert np.allclose(got, [want[k] for k in range(5)]) and got[2] == 1 and got[3] == 1 and got[4] == 0
+
+
+def test_validation_of_maps(spark):
+    labels = K.label(discs((40, 40), [(10, 10), (28, 27)], 7))
+    target = S.semantic_target(labels, 2)
+    good = np.concatenate([np.stack([target == k for k in range(3)]).astype(float), S.distance_target(labels)[None]])
+    bad = np.stack([np.ones(labels.shape), np.zeros(labels.shape), np.zeros(labels.shape)])
+    rows = [(k, 40, 40, labels.ravel().tolist(), m.ravel().tolist()) for k, m in enumerate((good, bad))]
+    f = spark.createDataFrame(rows, "image_id long, height int, width int, labels array<int>, maps array<double>")
+    a, b = E.validate_maps(f).orderBy("image_id").collect()
+    assert (a.dice, a.dice_background, a.dice_interior, a.dice_boundary, a.distance_mae, a.ap_mean) == (1, 1, 1, 1, 0, 1)
+    assert b.dice == b.dice_interior == b.ap_mean == 0 and 0 < b.dice_background < 1 and b.distance_mae is None
+    assert E.validate_maps(f.limit(0)).count() == 0
+
+
+def test_comparison_of_runs(spark):
+    a = spark.createDataFrame([(1, 0.5, 3.0, 0.25), (2, 1.0, 5.0, 0.75)], "image_id long, ap_mean double, extra double, dice double")
+    table, skipped = E.comparison({"x": a, "y": a.select("image_id", "dice")}, {"x": "not skipped", "z": "no weights"})
+    assert table.columns[:3] == ["backend", "dice", "ap_mean"] and skipped == {"z": "no weights"}
+    rows = {r.backend: r for r in table.collect()}
+    assert rows["x"].dice == 0.5 and rows["x"].extra == 4 and rows["y"].ap_mean is None and rows["y"].n_images == 2
+    with pytest.raises(ValueError):
+        E.comparison({})
+
+
+def test_training_items(spark):
+    image, labels = synthetic_field(n_objects=6, seed=4)
+    f = fields(spark, [image, image], labels=[labels, labels])
+    plain = P.preprocess_field(image.astype(float))[0]
+    rows = G.training_items(f, 48, train=False).orderBy("image_id").collect()
+    for r in rows:
+        want = G.cropped(labels, 48, zeros=True)
+        assert np.allclose(np.reshape(r.data, (48, 48)), G.cropped(plain, 48)) and np.array_equal(np.reshape(r.labels, (48, 48)), want)
+        assert np.array_equal(np.reshape(r.target, (48, 48)), S.semantic_target(want, 2)) and np.allclose(np.reshape(r.distance, (48, 48)), S.distance_target(want))
+    first, again = (G.training_items(f, 48, seed=1).orderBy("image_id").collect() for _ in range(2))
+    assert first == again and first[0].data != first[1].data and all(len(r.data) == len(r.labels) == 48 * 48 for r in first)
