@@ -66,9 +66,13 @@ def _pairs(a, b, s) -> pa.RecordBatch:
 
 
 def best_lists(pairs: DataFrame, k: int) -> DataFrame:
-    """a, b, s: of every a the k rows with the largest s, ties to the smaller b; equal pairs count once."""
+    """a, b, s: of every a the k rows with the largest s, ties to the smaller b; equal pairs count once.
+
+    One shuffle, by a: tasks cut their own rows to k places first, equal pairs share a place. Where blocks gave a pair two
+    sums that differ in the last bit, it takes two places of the list."""
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    return pairs.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    kept = pairs.select("a", "b", "s").withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k)
+    return kept.groupBy("a", "b").agg(F.max("s").alias("s"))
 
 
 def initial_pairs(nodes: DataFrame, n: int, dims: int, how: Settings) -> DataFrame:
@@ -189,7 +193,9 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, how: S
                 yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(s)], names=["q", "node", "s"])
 
         found = rows.select("q", "node", "vector", "qv").mapInArrow(score, "q long, node long, s double").withColumn("done", F.lit(False))
-        marked = pool.join(open_.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        # the same order as open_'s, so the same nodes are marked, without a join
+        place = F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("s"), "node"))
+        marked = pool.repartition("q").select("q", "node", "s", (F.col("done") | (place <= how.expand)).alias("done"))
         pool = marked.unionByName(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= how.beam).drop("rank")
         pool = materialize(pool, "beam")
     return pool.select("q", "node", "s")
