@@ -50,7 +50,10 @@ def signals(images: DataFrame, objects: DataFrame, tiny: float = 0.15) -> DataFr
     """Signals of every image. images: image_id, n_pixels, n_foreground, n_labels, and predictive_confidence where there are
     probabilities; objects: image_id, area_px, circularity, touches_border, solidity."""
     medians = {f"median_{c}": F.expr(f"percentile({c}, 0.5)") for c in ("area_px", "circularity", "solidity") if c in objects.columns}
-    middle = objects.groupBy("image_id").agg(*(e.alias(c) for c, e in medians.items()), F.try_divide(F.stddev_pop("area_px"), F.avg("area_px")).alias("area_cv"), F.avg(F.col("touches_border").cast("double")).alias("border_fraction"))
+    # deviation over mean from sums that are exact for pixel counts: a running deviation depends on the rows' order
+    area = F.col("area_px").cast("double")
+    spread = F.sqrt(F.greatest(F.count(area) * F.sum(area * area) - F.sum(area) * F.sum(area), F.lit(0.0)))
+    middle = objects.groupBy("image_id").agg(*(e.alias(c) for c, e in medians.items()), F.try_divide(spread, F.sum(area)).alias("area_cv"), F.avg(F.col("touches_border").cast("double")).alias("border_fraction"))
     small = objects.select("image_id", "area_px").join(middle.select("image_id", "median_area_px"), "image_id").groupBy("image_id").agg(F.avg((F.col("area_px") < tiny * F.col("median_area_px")).cast("double")).alias("tiny_fraction"))
     out = images.join(middle, "image_id", "left").join(small, "image_id", "left")
     more = [c for c in ("median_solidity", "predictive_confidence") if c in out.columns]
@@ -71,7 +74,7 @@ def assess(table: DataFrame, rules=RULES) -> DataFrame:
 
     def flag(name, signal):
         text, factor, digits = FLAGS[name]
-        return F.when(F.col(f"penalty_{name}") > 0, F.format_string(text, F.bround(F.col(signal) * factor, digits)))
+        return F.when(F.col(f"penalty_{name}") > 0, F.format_string(text, A.round_even(F.col(signal) * factor, digits)))
 
     flags = F.filter(F.array(*(flag(n, s) for n, s, *_ in used)), lambda x: x.isNotNull())
     out = out.withColumn("confidence", F.when(empty, F.lit(0.0)).otherwise(product))

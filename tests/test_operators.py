@@ -3,7 +3,10 @@
 import itertools
 import time
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,9 +18,12 @@ from fieldloom.operators import preprocess as P
 from fieldloom.operators import quality as Q
 from fieldloom.operators import segment as S
 from fieldloom.operators import unet as U
+from fieldloom.plans.catalog import ORACLE_SQL, QUERIES
 from fieldloom.sources import sinks
 from fieldloom.sources.synthetic import synthetic_field
 
+from .harness import differences
+
 
 def fields(spark, arrays, **more):
     rows = [(k, *a.shape, [float(x) for x in a.ravel()], *(([int(x) for x in v[k].ravel()]) for v in more.values())) for k, a in enumerate(arrays)]
@@ -257,6 +263,55 @@ def test_quality(spark):
     assert got[2].qc_median_solidity == 0.85 and got[2].qc_penalty_area_cv is None and got[2].qc_n_flags == 4
 
 
+#: Areas of objects and what they vary by, exactly: the limit of the flag, and half-way cases of its text.
+VARIED = (((1, 1, 1, 1, 12), 1.375), ((1, 1, 2, 4, 14, 17), 1.0))
+
+
+def test_area_variation_in_any_order(spark):
+    cases = [(list(order), cv) for areas, cv in VARIED for order in sorted(set(itertools.permutations(areas)))]
+    images = spark.createDataFrame([(k, 64, 20, 5) for k in range(len(cases))], "image_id long, n_pixels int, n_foreground int, n_labels int")
+    rows = [(k, float(a), 1.0, False, 1.0) for k, (areas, _) in enumerate(cases) for a in areas]
+    objects = spark.createDataFrame(rows, "image_id long, area_px double, circularity double, touches_border boolean, solidity double").repartition(3)
+    got = {r.image_id: r for r in Q.assess(Q.signals(images, objects)).collect()}
+    for k, (_, cv) in enumerate(cases):
+        assert got[k].area_cv == cv and ("(CV 1.38)" in got[k].flags) == ("CV" in got[k].flags) == (cv > 1)
+
+
+def test_flags_round_as_sql(spark):
+    solidity = [0.545, 0.575, 0.5 * 0.6 + 0.5 * 0.75, 0.5 * 0.84 + 0.5 * 0.85, 0.875, 0.865]
+    t = spark.createDataFrame([(k, 3.0, s) for k, s in enumerate(solidity)], "image_id long, n_objects double, median_solidity double")
+    got = [r.flags for r in Q.assess(t).orderBy("image_id").collect()]
+    want = [duckdb.execute("SELECT printf('%.2f', round_even(?::DOUBLE, 2))", [s]).fetchone()[0] for s in solidity]
+    assert got == [f"low median solidity ({w}); objects may be merged nuclei" for w in want]
+
+
+def varied_fields(folder):
+    """A table of 8 x 8 vectors: one block and four single pixels above the threshold, the block at several places."""
+    rows = []
+    for (h, w), (r, c), _ in itertools.product(((3, 4), (3, 2)), ((0, 0), (0, 4), (3, 0), (5, 0), (5, 4), (2, 2)), range(8)):
+        a = np.full((8, 8), -0.5)
+        a[r : r + h, c : c + w] = 0.5
+        free = [(y, x) for y in range(0, 8, 2) for x in range(0, 8, 2) if not (a[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2] > 0).any()]
+        for y, x in free[:: max(len(free) // 4, 1)][:4]:
+            a[y, x] = 0.4
+        rows.append((len(rows), a.ravel().tolist()))
+    table = pa.table({"vec_id": pa.array([k for k, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+    pq.write_table(table, f"{folder}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    return db
+
+
+@pytest.mark.parametrize("name", ["qc_assess"])
+def test_assessment_of_varied_fields(spark, tmp_path, name):
+    db = varied_fields(tmp_path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # one field's objects in several tasks, as in large tables
+    try:
+        assert not differences(QUERIES[name](spark, str(tmp_path)), db, ORACLE_SQL[name])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_convolution_network():
     r = np.random.default_rng(8)
     x, w = r.random((2, 5, 6)), r.random((3, 2, 3, 3))
