@@ -88,8 +88,8 @@ def report(assessed: DataFrame) -> DataFrame:
     signal_columns = [c for c in assessed.columns if c not in {"image_id", "confidence", "flags", "passed", "n_flags", *penalties}]
     empty = F.col("n_objects") <= 0
     return assessed.select(
-        "image_id", F.round("confidence", 4).alias("qc_confidence"), F.col("passed").alias("qc_passed"), F.col("flags").alias("qc_flags"), F.col("n_flags").alias("qc_n_flags"),
-        *(F.round(c, 5).alias(f"qc_{c}") for c in signal_columns), *(F.when(~empty & (F.col(c) > 0), F.round(c, 5)).alias(f"qc_{c}") for c in penalties),
+        "image_id", A.round_away(F.col("confidence"), 4).alias("qc_confidence"), F.col("passed").alias("qc_passed"), F.col("flags").alias("qc_flags"), F.col("n_flags").alias("qc_n_flags"),
+        *(A.round_away(F.col(c), 5).alias(f"qc_{c}") for c in signal_columns), *(F.when(~empty & (F.col(c) > 0), A.round_away(F.col(c), 5)).alias(f"qc_{c}") for c in penalties),
     )
 
 

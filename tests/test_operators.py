@@ -285,6 +285,13 @@ def test_flags_round_as_sql(spark):
     assert got == [f"low median solidity ({w}); objects may be merged nuclei" for w in want]
 
 
+def test_report_rounds_as_sql(spark):
+    solidity = [0.303125, 0.611875, 0.5 * 0.46875 + 0.5 * 0.86, 0.5 * 0.65625 + 0.5 * 0.84, 0.859375, 0.65]
+    t = spark.createDataFrame([(k, 3.0, s) for k, s in enumerate(solidity)], "image_id long, n_objects double, median_solidity double")
+    got = [r.qc_median_solidity for r in Q.report(Q.assess(t)).orderBy("image_id").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 5)", [s]).fetchone()[0] for s in solidity]
+
+
 def varied_fields(folder):
     """A table of 8 x 8 vectors: one block and four single pixels above the threshold, the block at several places."""
     rows = []
@@ -302,7 +309,7 @@ def varied_fields(folder):
     return db
 
 
-@pytest.mark.parametrize("name", ["qc_assess"])
+@pytest.mark.parametrize("name", ["qc_assess", "qc_report"])
 def test_assessment_of_varied_fields(spark, tmp_path, name):
     db = varied_fields(tmp_path)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # one field's objects in several tasks, as in large tables
