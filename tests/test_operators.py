@@ -309,7 +309,7 @@ def varied_fields(folder):
     return db
 
 
-@pytest.mark.parametrize("name", ["qc_assess", "qc_report"])
+@pytest.mark.parametrize("name", ["qc_assess", "qc_report", "qc_verdict"])
 def test_assessment_of_varied_fields(spark, tmp_path, name):
     db = varied_fields(tmp_path)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # one field's objects in several tasks, as in large tables
